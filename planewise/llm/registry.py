@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planewise.llm import lines, pieces, simhash
+from planewise.llm import language, lines, pieces, simhash
 from planewise.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read(spark, sf_dir, "documents"), pieces.default_model())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sentencepiece, op7_simhash_near_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op4_sentencepiece, op5_language_id, op7_simhash_near_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
