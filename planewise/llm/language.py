@@ -68,7 +68,7 @@ def letters(text: str) -> np.ndarray:
     if len(x) == 1 and x[0] == GAP:
         return x[:0]
     if len(x):
-        x = np.concatenate([[GAP] * (x[0] != GAP), x, [GAP] * (x[-1] != GAP)]).astype(np.uint32)
+        x = np.pad(x, (int(x[0] != GAP), int(x[-1] != GAP)), constant_values=GAP)
     return x
 
 
