@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planewise.llm import language, lines, pieces, simhash, substrings
+from planewise.llm import language, lines, phrases, pieces, simhash, substrings
 from planewise.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
 
 
+def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup_phrases(read(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read(spark, sf_dir, "documents"), pieces.default_model())
 
@@ -31,7 +35,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op4_sentencepiece, op5_language_id, op7_simhash_near_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op3_repeated_phrases, op4_sentencepiece, op5_language_id, op7_simhash_near_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

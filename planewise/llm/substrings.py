@@ -61,16 +61,7 @@ def find_blocks(column: pa.Array, length: int, gram: int) -> Iterator[Found]:
         anchors = grams.anchored(ids, length - gram + 1)
         long = np.diff(offsets) >= length
         begin, end = offsets[:-1][long], offsets[1:][long] - length + 1
-        steps = np.zeros(len(anchors) + 1, np.int32)
-        steps[begin] += 1
-        steps[end] -= 1
-        inside = np.cumsum(steps[:-1]) > 0
-        opens = inside.copy()
-        opens[1:] &= (anchors[1:] != anchors[:-1]) | ~inside[:-1]
-        opens[begin] = True
-        closes = inside.copy()
-        closes[:-1] &= opens[1:] | ~inside[1:]
-        a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+        a, b = grams.block_edges(anchors, begin, end)
         # the first and the last window together cover the block, since all its windows share the anchor
         content = grams.mix(_window(ids, a, length, gram), _window(ids, b, length, gram))
         which = np.searchsorted(offsets, a, "right") - 1
