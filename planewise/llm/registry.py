@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planewise.llm import language, lines, phrases, pieces, simhash, substrings, vectors
+from planewise.llm import language, lines, pages, phrases, pieces, simhash, substrings, vectors
 from planewise.llm.common import read
 
 
@@ -34,12 +34,16 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(read(spark, sf_dir, "embeddings"), every=20)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op3_repeated_phrases, op4_sentencepiece, op5_language_id, op7_simhash_near_dedup, op8_nearest_neighbours, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op3_repeated_phrases, op4_sentencepiece, op5_language_id, op7_simhash_near_dedup, op8_nearest_neighbours, op9_main_text, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
