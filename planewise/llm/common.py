@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,22 +14,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, which all executors share: the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one that ``spark.checkpoint.dir`` names.  A temporary folder of this machine is set only
-    where the session has none, as in local tests.
+    A temporary folder of this machine is set only where the session has none, as in local tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
-def salt(column: str | Column, n: int) -> Column:
-    """A number from 0 to n - 1 that follows from the row, so a task that runs again deals it alike."""
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -73,9 +72,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planewise.llm import language, lines, pages, phrases, pieces, simhash, substrings, vectors
+from planewise.llm import language, lines, pages, phrases, pieces, private, simhash, substrings, templates, vectors
 from planewise.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.dedup_phrases(read(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(read(spark, sf_dir, "documents"))
 
 
+def op6_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.replace_private(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -43,7 +51,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op3_repeated_phrases, op4_sentencepiece, op5_language_id, op7_simhash_near_dedup, op8_nearest_neighbours, op9_main_text, op10_line_dedup)}
+    found = (
+        op1_suffix_array_dedup,
+        op2_decontamination,
+        op3_repeated_phrases,
+        op4_sentencepiece,
+        op5_language_id,
+        op6_private_surrogates,
+        op7_simhash_near_dedup,
+        op8_nearest_neighbours,
+        op9_main_text,
+        op10_line_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
