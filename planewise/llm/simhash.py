@@ -82,8 +82,9 @@ def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     some_pairs = some.select("key", F.col("fp").alias("a")).join(other, "key").where("a < b").where(near)
     many = members.where(F.col("n") > crowded).select("fp").distinct()
     masks = "flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> struct(i, j))))"
-    # dealt anew so that the members of one crowd, which follow each other, are spread over all tasks
-    wild = many.repartition(F.col("fp")).select("fp", F.explode(F.expr(masks)).alias("m"))
+    # dealt out evenly, a few for each task, since each makes 2,016 rows
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wild = many.repartitionByRange(tasks, "fp").select("fp", F.explode(F.expr(masks)).alias("m"))
     wild = wild.select("fp", "m", F.expr("fp & ~(shiftleft(1L, m.i) | shiftleft(1L, m.j))").alias("rest"))
     quads = wild.groupBy("rest", "m").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("fp")).alias("all"))
     chain = quads.where("n > 1").select(F.explode(F.expr("transform(slice(all, 2, 3), x -> struct(all[0] as u, x as v))")).alias("e"))
