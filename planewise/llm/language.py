@@ -130,10 +130,13 @@ class Parser:
             x = np.where(x == len(known) + 1, 0, x)
             move = suffix_automaton(x.tolist())
             root = base * width
-            begin = np.full(width, root, np.int64)
+            # one state more: after a letter that no sample has, whatever comes begins a phrase
+            lone = (base + len(move)) * width
+            begin = np.full(width, lone, np.int64)
             for c, q in move[0].items():
                 begin[c] = (base + q) * width
-            table = np.tile(~begin, (len(move), 1))
+            table = np.tile(~begin, (len(move) + 1, 1))
+            table[0] = begin  # a block's first phrase is counted beforehand
             for p, ways in enumerate(move):
                 for c, q in ways.items():
                     table[p, c] = (base + q) * width
@@ -141,7 +144,7 @@ class Parser:
             tables.append(table.astype(np.int32).ravel())
             self.roots.append(root)
             self.weights.append(math.log2(len(x) + 1))
-            base += len(move)
+            base += len(move) + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
