@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planewise.llm import grams
 from planewise.llm.common import stored
 
 #: Bits of a text's checksum that tell apart rows that repeat an id.
@@ -35,12 +36,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", (F.crc32("body") % (1 << TAG_BITS)).cast("int").alias("tag"), "body")
 
 
+def sliced(parts: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what a worker derives from one at a time stays small."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """``id``, ``tag`` and the compressed text ``z``: what is shuffled to meet the spans found in it."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for part in parts:
+        for part in sliced(parts):
             z = [squeeze(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], ["id", "tag", "z"])
 
@@ -64,9 +73,11 @@ def blocks(rows: DataFrame, find: Callable[[pa.Array], Iterator[Found]], bits: i
     """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             ids, tags = part.column(0), part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for which, anchor, content, start, count in find(part.column(2)):
+                # an anchor is the least of many ids, so its leading bits are mostly zero until it is mixed again
+                anchor = grams.mix(anchor, anchor)
                 place = (tags[which] << (63 - TAG_BITS)) | (start << 8) | count
                 columns = [
                     pa.array((anchor >> np.uint64(64 - bits)).astype(np.int64), pa.int64()),

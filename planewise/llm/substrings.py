@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planewise.llm import grams
-from planewise.llm.repeats import CHUNK, Found, anchor_bits, blocks, keyed, merged, opened, packed, repeated, span_arrays, unpacked, with_spans
+from planewise.llm.repeats import CHUNK, Found, anchor_bits, blocks, keyed, merged, opened, packed, repeated, sliced, span_arrays, unpacked, with_spans
 
 LENGTH = 200
 #: The q-grams that make the initial buckets are so many bytes shorter than the strings.
 WINDOWS = 136
 #: Distinct blocks that a bucket may have to be refined within one task; larger ones are refined by a shuffle.
 CROWDED = 4096
-#: Windows that are refined at a time.
-UNIT = 1_000_000
+#: Windows that are refined at a time, and bytes of a long text that are hashed at a time.
+UNIT, PIECE = 250_000, 1 << 20
 
 
 def _buckets(data: np.ndarray, length: int) -> np.ndarray:
@@ -43,11 +43,11 @@ def _chunks(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
     while at < n:
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
         low, high = int(offsets[at]), int(offsets[stop])
-        if high - low <= grams.MOST:
+        if high - low <= 2 * PIECE:
             yield data[low:high], offsets[at : stop + 1] - low, at, 0
         else:
-            for first in range(0, high - low, grams.MOST // 2):
-                piece = data[low + first : min(high, low + first + grams.MOST // 2 + length - 1)]
+            for first in range(0, high - low, PIECE):
+                piece = data[low + first : min(high, low + first + PIECE + length - 1)]
                 yield piece, np.array([0, len(piece)]), at, first
         at = stop
 
@@ -70,19 +70,12 @@ def find_blocks(column: pa.Array, length: int, gram: int) -> Iterator[Found]:
 
 def _window(ids: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Bucket ids of the windows at these places, by the pointers to the buckets at later offsets."""
-    ends, q = [(at, gram)], gram
-    while q < length:
-        step = min(q, length - q)
-        ends.append((step, q + step))
-        q += step
-
-    def bucket(place: np.ndarray, depth: int) -> np.ndarray:
-        if depth == 0:
-            return ids[place]
-        step = ends[depth][0]
-        return grams.mix(bucket(place, depth - 1), bucket(place + step, depth - 1))
-
-    return bucket(at, len(ends) - 1)
+    if length == gram:
+        return ids[at]
+    q = gram
+    while 2 * q < length:
+        q *= 2
+    return grams.mix(_window(ids, at, q, gram), _window(ids, at + length - q, q, gram))
 
 
 def _pieces(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -91,18 +84,16 @@ def _pieces(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     joined = texts.join(lists, texts["id"].eqNullSafe(lists["wid"]) & (texts["tag"] == lists["wtag"])).select("id", "tag", "z", "all")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for at in range(0, part.num_rows, 200):
-                few = part.slice(at, 200)
-                out: list[list] = [[] for _ in range(7)]
-                for i, tag, z, every in zip(*(c.to_pylist() for c in few.columns), strict=True):
-                    body = opened(z)
-                    for x in every:
-                        row = (x["h"], i, tag, x["start"], x["count"], x["alone"], body[x["start"] : x["start"] + x["count"] + length - 1])
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "id", "tag", "start", "count", "alone", "piece"])
+        for few in sliced(parts, 200):
+            out: list[list] = [[] for _ in range(7)]
+            for i, tag, z, every in zip(*(c.to_pylist() for c in few.columns), strict=True):
+                body = opened(z)
+                for x in every:
+                    row = (x["h"], i, tag, x["start"], x["count"], x["alone"], body[x["start"] : x["start"] + x["count"] + length - 1])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "id", "tag", "start", "count", "alone", "piece"])
 
     return joined.mapInArrow(batches, "h long, id long, tag int, start long, count int, alone boolean, piece binary")
 
@@ -221,18 +212,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
-        for part in parts:
-            for at in range(0, part.num_rows, 500):
-                few = part.slice(at, 500)
-                sizes, gone, parts_gone, kept = [], [], [], []
-                for z, (starts, ends) in zip(few.column(1).to_pylist(), span_arrays(few.column(2)), strict=True):
-                    body = opened(z)
-                    starts, ends = merged(starts, ends)
-                    sizes.append(len(body))
-                    gone.append(int((ends - starts).sum()))
-                    parts_gone.append(len(starts))
-                    kept.append(b"".join(body[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(body)], strict=True)))
-                columns = [few.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(parts_gone, pa.int64()), pa.array([sha256(k).hexdigest() for k in kept], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_kept, names)
+        for few in sliced(parts, 500):
+            sizes, gone, parts_gone, kept = [], [], [], []
+            for z, (starts, ends) in zip(few.column(1).to_pylist(), span_arrays(few.column(2)), strict=True):
+                body = opened(z)
+                starts, ends = merged(starts, ends)
+                sizes.append(len(body))
+                gone.append(int((ends - starts).sum()))
+                parts_gone.append(len(starts))
+                kept.append(b"".join(body[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(body)], strict=True)))
+            columns = [few.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(parts_gone, pa.int64()), pa.array([sha256(k).hexdigest() for k in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_kept, names)
 
     return with_spans(texts, spans).mapInArrow(batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
