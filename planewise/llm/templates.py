@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a window, the step between a document's windows, and the ordinary words that a window needs.
-WINDOW, STEP, WORDS = 8, 6, 5
-#: Windows of a benchmark up to which it is broadcast; a larger one is joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+from planewise.llm.common import checkpoint
+
+#: Tokens of a window, and the ordinary words that an alignment of windows needs.
+WINDOW, WORDS = 8, 5
+#: Tokens of a seed and the step between a document's seeds; every window holds one as long as SEED + STEP <= WINDOW + 1.
+SEED, STEP = 6, 3
+#: Windows of a benchmark, and hashes of texts that meet it, up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_WINDOWS, BROADCAST_TEXTS = 200_000, 1_000_000
 
 # Units that follow a number.
 UNITS = "km kg g mg t lb lbs oz m cm mm nm mi ft in yd l ml h hr hrs min s sec ms day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles gram grams liter liters litre litres dollar dollars euro euros cent cents percent degrees watts volts kw kwh mw hz khz mhz ghz mb gb tb km/h mph"
@@ -36,53 +40,112 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def windows(rows: DataFrame, step: int) -> DataFrame:
-    """For rows of ``key`` and ``body``: place ``at``, template hashes ``h``, ``h2`` and slot values of every window.
+def _is_slot(w: Column) -> Column:
+    return w.startswith("⟨")
+
+
+def _template(x: Column) -> Column:
+    return F.transform(x, lambda w: F.when(_is_slot(w), F.substring(w, 1, 3)).otherwise(w))
+
+
+def _places(x: Column, width: Column, step: int) -> Column:
+    return F.when(F.size(x) >= width, F.sequence(F.lit(0), F.size(x) - width, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
-    Windows with fewer than ``WORDS`` ordinary words are left out.
-    """
 
-    def is_slot(w: Column) -> Column:
-        return w.startswith("⟨")
+def _own_width(x: Column) -> Column:
+    """``WINDOW``, or the number of tokens where it is less."""
+    return F.least(F.size(x), F.lit(WINDOW))
 
-    def window(x: Column, t: Column, any_slot: Column, i: Column) -> Column:
-        slots = F.when(any_slot, F.filter(F.slice(x, i + 1, WINDOW), is_slot)).otherwise(F.array().cast("array<string>"))
-        return _let(F.slice(t, i + 1, WINDOW), lambda w: F.struct(i.alias("at"), F.xxhash64(w).alias("h"), F.hash(w).alias("h2"), slots.alias("slots")))
+
+def seeds(rows: DataFrame, spans: Callable[[Column], list[tuple[Column, int]]], skip: int = 0) -> DataFrame:
+    """For rows of ``text`` and ``body``: the template hash ``h`` of every span, given as widths and steps."""
+
+    def spread(t: Column, w: Column, step: int) -> Column:
+        return F.transform(_places(t, w, step), lambda i: F.xxhash64(F.slice(t, i + 1, w)))
 
     def cut(x: Column) -> Column:
-        template = F.transform(x, lambda w: F.when(is_slot(w), F.substring(w, 1, 3)).otherwise(w))
-        places = F.sequence(F.lit(0), F.size(x) - WINDOW, F.lit(step))
-        each = _let(template, lambda t: _let(F.exists(t, is_slot), lambda a: F.transform(places, lambda i: window(x, t, a, i))))
-        return F.when(F.size(x) >= WINDOW, each)
+        def hashes(t: Column) -> Column:
+            return F.concat(*(spread(t, w, step) for w, step in spans(t)))
+
+        return _let(_template(x), hashes)
 
     # one expression, so that no part of it is computed again for a filter
-    each = _let(tokens(F.col("body")), cut)
-    found = rows.where("body is not null").select("key", F.explode(each).alias("w")).select("key", "w.*")
-    return found.where(F.size("slots") <= WINDOW - WORDS)
+    return rows.select("text", F.explode(_let(F.slice(tokens(F.col("body")), 1 + skip, 1 << 30), cut)).alias("h"))
+
+
+def windows(rows: DataFrame, widths: Callable[[Column], list[Column]], skip: int = 0) -> DataFrame:
+    """For rows of ``key``, ``text`` and ``body``: every window of the given widths, after ``skip`` tokens.
+
+    A window has its place ``at``, hashes ``h``, ``h2`` of its template, ``slots``, the places of its ordinary words
+    (``plain``), and the windows of that width in the text (``total``).  One without ordinary words is
+    hashed with its values: it would fit any numbers else.
+    """
+
+    def window(x: Column, t: Column, i: Column, w: Column) -> Column:
+        slots = F.filter(F.slice(x, i + 1, w), _is_slot)
+        plain = F.filter(F.sequence(i, i + w - 1), lambda k: ~_is_slot(x[k]))
+        bare = F.when(F.size(slots) == w, F.slice(x, i + 1, w)).otherwise(F.slice(t, i + 1, w))
+        return _let(bare, lambda b: F.struct(i.alias("at"), w.alias("width"), F.xxhash64(b).alias("h"), F.hash(b).alias("h2"), slots.alias("slots"), plain.alias("plain"), (F.size(x) - w + 1).alias("total")))
+
+    def spread(x: Column, t: Column, w: Column) -> Column:
+        return F.transform(_places(x, w, 1), lambda i: window(x, t, i, w))
+
+    def cut(x: Column) -> Column:
+        return _let(_template(x), lambda t: F.concat(*(spread(x, t, w) for w in widths(x))))
+
+    each = _let(F.slice(tokens(F.col("body")), 1 + skip, 1 << 30), cut)
+    return rows.select("key", "text", F.explode(each).alias("w")).select("key", "text", "w.*")
+
+
+def _rows(table: DataFrame, key: str, text: str) -> DataFrame:
+    body = F.col(text).cast("string")
+    return table.select(F.col(key).alias("key"), F.xxhash64(body).alias("text"), body.alias("body")).where("body is not null")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has no more than so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The ids that share text with a benchmark item: ``id``, ``n_windows`` and the ``items``, in order.
 
-    Texts are reduced to templates.  Windows of ``WINDOW`` tokens, at every ``STEP``-th token of a document
-    and every token of an item, are joined by their hash, so any run of WINDOW + STEP - 1 equal tokens is found
-    and a shorter one may be.  A window needs ``WORDS`` ordinary words.  The slots of all windows that pair a document
-    with an item at one offset must agree one-to-one: the same number, unit or name always stands for the
-    same other one.  Re-parameterised questions agree; texts that merely share phrases around other values do not.
+    Texts are reduced to templates.  Windows of ``WINDOW`` tokens, at every token of a document and of an item,
+    are joined by their hash, so any run of WINDOW equal tokens is met.  An item with fewer tokens is one window of its own
+    length.  The windows that pair a text with an item at one offset are an alignment.  It counts if its windows hold
+    ``WORDS`` ordinary words together, or are all of the item's, and if its slots agree one-to-one: the same number, unit or
+    name always stands for the same other one.  Re-parameterised questions agree; texts that merely share phrases
+    around other values do not.
+
+    Hashes of ``SEED`` tokens at every ``STEP``-th token of a document find the texts that can hold a window (each window of
+    WINDOW tokens holds such a seed whole); only their windows are cut.
 
-    Texts that are null or shorter than a window match nothing, and documents without an id are matched like
+    Texts that are null or have no token match nothing, and documents without an id are matched like
     others under the null id.  Rows that repeat an id are one document.
     """
-    own = windows(docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("body")), STEP)
-    items = windows(benchmark.select(F.col(item_col).alias("key"), F.col(item_text).cast("string").alias("body")), 1)
-    items = items.where("key is not null").select(F.col("key").alias("item"), F.col("at").alias("place"), "h", "h2", F.col("slots").alias("theirs")).distinct()
-    if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        items = F.broadcast(items)
-    met = own.join(items, ["h", "h2"]).select(F.col("key").alias("id"), "item", (F.col("at") - F.col("place")).alias("offset"), F.explode_outer(F.arrays_zip("slots", "theirs")).alias("pair"), "at")
-    # the pairs of an alignment are at most an item's slots
-    runs = met.groupBy("id", "item", "offset").agg(F.collect_set("pair").alias("pairs"), F.countDistinct("at").alias("n"))
+    rows = _rows(docs, id_col, text_col)
+    bench = _rows(benchmark, item_col, item_text).where("key is not null").where(F.col("body").rlike(r"[\p{L}\p{N}]"))
+    # within a sentence the first word of an item may be marked as a name
+    inner = bench.withColumn("body", F.concat(F.lit("a "), F.ltrim("body")))
+    items = windows(bench, lambda x: [_own_width(x)]).unionByName(windows(inner, lambda x: [_own_width(x)], skip=1))
+    items = checkpoint(items.select(F.col("key").alias("item"), F.col("text").alias("item_text"), F.col("at").alias("place"), "width", "h", "h2", F.col("slots").alias("theirs"), "plain", "total").distinct())
+    short = sorted(r.width for r in items.where(F.col("width") < WINDOW).select("width").distinct().collect())
+
+    def item_spans(x: Column) -> list[tuple[Column, int]]:
+        return [(F.when(F.size(x) < WINDOW, F.size(x)).otherwise(F.lit(SEED)), 1)]
+
+    sought = seeds(bench, item_spans).unionByName(seeds(inner, item_spans, skip=1)).select("h").distinct()
+    found = seeds(rows, lambda x: [(F.lit(SEED), STEP), *((F.lit(n), 1) for n in short)])
+    texts = checkpoint(found.join(_small(sought, BROADCAST_WINDOWS), "h", "left_semi").select("text").distinct())
+    own = windows(rows.join(_small(texts, BROADCAST_TEXTS), "text", "left_semi"), lambda x: [F.lit(WINDOW), *map(F.lit, short)])
+    own = own.select(F.col("key").alias("id"), "text", "at", "h", "h2", "slots")
+    met = own.join(_small(items, BROADCAST_WINDOWS), ["h", "h2"]).withColumn("offset", F.col("at") - F.col("place"))
+    # the windows of an alignment are at most an item's
+    each = F.collect_set(F.struct("at", F.arrays_zip("slots", "theirs").alias("pairs"), "plain"))
+    runs = met.groupBy("id", "text", "item", "item_text", "offset").agg(each.alias("w"), F.min("total").alias("total"))
+    runs = runs.selectExpr("id", "item", "total", "size(array_distinct(w.at)) as n", "size(array_distinct(flatten(w.plain))) as words", "array_distinct(flatten(w.pairs)) as pairs")
     fits = "size(pairs) = size(array_distinct(pairs.slots)) and size(pairs) = size(array_distinct(pairs.theirs))"
-    hits = runs.where(fits).groupBy("id", "item").agg(F.sum("n").alias("n"))
+    hits = runs.where(f"(words >= {WORDS} or n >= total) and {fits}").groupBy("id", "item").agg(F.sum("n").alias("n"))
     return hits.groupBy("id").agg(F.sum("n").alias("n_windows"), F.sort_array(F.collect_list("item")).alias("items"))
 
 
