@@ -138,6 +138,21 @@ def _surrogate(key: str) -> str:
     )
 
 
+def _longer(key: str, k: int) -> str:
+    """SQL for a surrogate of ``m`` beyond its format: ``k`` further parts of a name or mailbox, else a number behind it.
+
+    An address gets four octets of three digits in the first ten rounds.  Not one-to-one by itself.
+    """
+    name = f"concat(a, repeat(lower(regexp_extract({_surrogate(f'{key}/part{k}')}, '[^ -]+$', 0)), {k}))"
+    email = f"concat(repeat(substring_index({_surrogate(f'{key}/part{k}')}, '@', 1), {k}), a)"
+    octets = ", ".join(f"cast(100 + {_number(key, f'octet{k}.{i}', 'm')} % 156 as string)" for i in range(4))
+    ip = f"concat_ws('.', {octets})"
+    number = f"concat(a, '-', lpad(cast({_number(key, f'behind{k}', 'm')} as string), 10, '0'))"
+    kinds = [(_SECRET, number), (_EMAIL, email), (_IBAN, number), (_IP, ip if k <= 10 else number), (_CARD, number), (_PHONE, number), (_NUMBER, number)]
+    cases = " ".join(f"when regexp_like(m, {_quoted('^(?:' + pattern + ')$')}) then {body}" for pattern, body in kinds)
+    return _let(_surrogate(f"{key}/longer{k}"), "a", f"case {cases} else {name} end")
+
+
 def replace_private(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 20) -> DataFrame:
     """Replace personal data by surrogates: ``doc_id``, ``text`` and ``n_entities`` of every row.
 
@@ -147,9 +162,10 @@ def replace_private(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", tex
     entities stay different.  It keeps the format: separators, lengths, scripts and case, check digits, the number
     of digits of an octet, country codes, top-level domains, titles, and the gender of known given names.
 
-    A surrogate that is itself an entity of the corpus would expose that one, so it is mapped again until
-    it is none (walking a one-to-one map like this keeps it one-to-one); such cases are looked for over all
-    distinct entities of all texts.  A text that is null stays null; texts without entities are unchanged; repeated
+    A surrogate that is itself an entity of the corpus would expose that one.  Such cases are looked for over all
+    distinct entities of all texts; they get the map of another key, then of a third and so on, until the result is neither
+    an entity nor the surrogate of another one.  After ``max_rounds`` of them, as where the corpus fills all
+    values of a short format, the format gives way: the surrogate grows, by one more part each round.  A text that is null stays null; texts without entities are unchanged; repeated
     rows and null ids keep a row each; an empty table gives an empty result; further columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
@@ -160,19 +176,19 @@ def replace_private(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", tex
     surrogate = _surrogate(key)
     entities = rows.select(F.explode("found").alias("m")).distinct()
     entities = checkpoint(entities.selectExpr("m", f"{surrogate} as s"))
+    taken = entities.select("m").unionByName(entities.select(F.col("s").alias("m"))).withColumnRenamed("m", "s")
     walked = None
-    open_ = checkpoint(entities.join(entities.select(F.col("m").alias("s")), "s", "left_semi").select("m", "s"))
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
-        again = open_.selectExpr("m as origin", "s as m").selectExpr("origin", f"{surrogate} as s").withColumnRenamed("origin", "m")
-        hit = entities.select(F.col("m").alias("s"), F.lit(True).alias("hit"))
-        again = checkpoint(again.join(hit, "s", "left"))
-        done = again.where("hit is null").select("m", "s")
+    open_ = checkpoint(entities.join(entities.select(F.col("m").alias("s")), "s", "left_semi").select("m"))
+    turn = 0
+    while not open_.isEmpty():
+        turn += 1
+        again = _surrogate(f"{key}/again{turn}") if turn <= max_rounds else _longer(key, turn - max_rounds)
+        # of those that get the same one, the least keeps it
+        free = open_.selectExpr("m", f"{again} as s").groupBy("s").agg(F.min("m").alias("m")).join(taken, "s", "left_anti")
+        done = checkpoint(free.select("m", "s"))
         walked = done if walked is None else walked.unionByName(done)
-        open_ = again.where("hit").select("m", "s")
-    else:
-        raise RuntimeError(f"surrogates still meet entities of the corpus after {max_rounds} rounds")
+        taken = taken.unionByName(done.select("s"))
+        open_ = checkpoint(open_.join(done, "m", "left_anti"))
     given = f"transform(found, m -> {surrogate})"
     if walked is not None:
         # rows that hold such an entity get the list of exceptions that they need
