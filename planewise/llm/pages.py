@@ -13,9 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A branch goes if its importance is below this, judged on so many different pages of its host at least.
+#: A recurring content goes if its importance is below this, judged on so many different pages of its host at least.
 IMPORTANCE, PAGES = 0.2, 6
-#: Weight of a node's content against the presentation of the element that holds it.
+#: Weight of a content's share of the pages against the presentation of the element that holds it.
 CONTENT_SHARE = 0.9
 
 # Fixed values of HTML: elements without content, with raw content, that stand in a line, and what ends an open one.
@@ -163,9 +163,21 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if b.inside] or blocks
 
 
-def main_text(html: str, low: frozenset[str] = frozenset()) -> str:
-    """Blocks of the main text without the branches in ``low``, one a line."""
-    return "\n".join(t for b in main_blocks(parse(html)[0]) if (t := b.text(low)))
+def contents(blocks: list[Block]) -> dict[str, int]:
+    """The hash of what stands at every style path that bears text."""
+    texts: dict[str, list[str]] = {}
+    for b in blocks:
+        for path, t in b.pieces:
+            if not t.isspace():
+                texts.setdefault(path, []).append(" ".join(t.split()))
+    return {path: xxhash.xxh64_intdigest("\n".join(own)) >> 1 for path, own in texts.items()}
+
+
+def main_text(html: str, low: frozenset[tuple[str, int]] = frozenset()) -> str:
+    """Blocks of the main text without what ``low`` holds, by path and content, one a line."""
+    blocks = main_blocks(parse(html)[0])
+    gone = frozenset(path for path, content in contents(blocks).items() if (path, content) in low) if low else frozenset()
+    return "\n".join(t for b in blocks if (t := b.text(gone)))
 
 
 def _host() -> F.Column:
@@ -174,13 +186,14 @@ def _host() -> F.Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """The style tree of every host (columns ``host`` and ``html``), as rows ``host``, ``path``, ``pages`` and ``importance``.
+    """The style tree of every host (columns ``host`` and ``html``), as rows ``host``, ``path``, ``content``, ``pages`` and ``importance``.
 
     Pages of a host are merged by style path: the chain of element names with their classes.  For each path that
     bears text in the main part, pages are counted by what stands there (content) and by the children of the
-    element that holds it (presentation); the normalised entropy of each count is 0 where all pages agree
-    and 1 where all differ.  Pages with the same longest block are copies and count once.  All sums are
-    combined before a shuffle, so a host with very many pages is no burden to one task.
+    element that holds it (presentation).  A row is the most common content of a path; it is the less important the greater its
+    share of the path's pages, and that of the most common presentation: 0 where all pages agree, whatever their
+    number.  Pages with the same main text are copies and count once.  All sums are combined before a
+    shuffle, so a host with very many pages is no burden to one task.
     """
 
     def nodes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,18 +202,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
             for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 blocks, styles = parse(html or "")
                 blocks = main_blocks(blocks)
-                texts: dict[str, list[str]] = {}
-                longest = ""
-                for b in blocks:
-                    own = b.text()
-                    longest = max(longest, own, key=len)
-                    for path, t in b.pieces:
-                        if not t.isspace():
-                            texts.setdefault(path, []).append(t)
-                page = xxhash.xxh64_intdigest(longest) >> 1
-                for path, own in texts.items():
+                page = xxhash.xxh64_intdigest("\n".join(t for b in blocks if (t := b.text()))) >> 1
+                for path, content in contents(blocks).items():
                     above = styles.get(path.rpartition("/")[0], [])
-                    row = (host, path, page, xxhash.xxh64_intdigest("\n".join(own)) >> 1, xxhash.xxh64_intdigest(" ".join(above)) >> 1)
+                    row = (host, path, page, content, xxhash.xxh64_intdigest(" ".join(above)) >> 1)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
@@ -211,36 +216,37 @@ def style_tree(pages: DataFrame) -> DataFrame:
     kinds = once.select("host", "path", F.explode(F.array(F.struct(F.lit(True).alias("is_content"), F.col("content").alias("value")), F.struct(F.lit(False).alias("is_content"), F.col("style").alias("value")))).alias("x"))
     counts = kinds.groupBy("host", "path", "x.is_content", "x.value").agg(F.count("*").cast("double").alias("n"))
 
-    def entropy(content: bool) -> F.Column:
-        own = F.when(F.col("is_content") == content, F.col("n"))
-        total = F.sum(own)
-        return F.when(total > 1, (F.log(total) - F.sum(own * F.log("n")) / total) / F.log(total)).otherwise(F.lit(1.0))
+    def most(content: bool) -> F.Column:
+        return F.max(F.when(F.col("is_content") == content, F.struct("n", "value")))
 
-    share = CONTENT_SHARE * entropy(True) + (1 - CONTENT_SHARE) * entropy(False)
-    return counts.groupBy("host", "path").agg(F.sum(F.when(F.col("is_content"), F.col("n"))).cast("long").alias("pages"), share.alias("importance"))
+    total = F.sum(F.when(F.col("is_content"), F.col("n")))
+    importance = CONTENT_SHARE * (1 - most(True)["n"] / total) + (1 - CONTENT_SHARE) * (1 - most(False)["n"] / total)
+    return counts.groupBy("host", "path").agg(most(True)["value"].alias("content"), total.cast("long").alias("pages"), importance.alias("importance"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = IMPORTANCE, pages_needed: int = PAGES) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) of every page.
 
     The text is that of the article or main element, or else of the page, without what its name, role or class
-    mark as menu, header, footer, sidebar, notice, advert, form, script, style or comments, and without branches
-    that the host's style tree finds unimportant (below ``least`` on at least ``pages_needed`` different
-    pages).  Character references are decoded, white space inside a block becomes one space, and blocks are joined
+    mark as menu, header, footer, sidebar, notice, advert, form, script, style or comments, and without contents
+    that the host's style tree finds unimportant (below ``least`` for a path of at least ``pages_needed`` different
+    pages); what stands at such a path on the host's other pages stays.  Character references are decoded, white space inside a block becomes one space, and blocks are joined
     in page order by one line end; nothing else is dropped or cut.
 
     Null html is an empty page with the text ``""``.  Pages without a host in their url share one tree.  Repeated
     rows and null ids keep a row each; an empty table gives an empty result; further columns are not read.
     """
+    if least > CONTENT_SHARE / 2:
+        raise ValueError("only the most common content of a path is judged, and another one could be below this")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", _host())
     tree = style_tree(rows).where((F.col("pages") >= pages_needed) & (F.col("importance") < least))
-    low = tree.groupBy("host").agg(F.collect_set("path").alias("low"))
+    low = tree.groupBy("host").agg(F.collect_set(F.struct("path", "content")).alias("low"))
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = [main_text(h or "", frozenset(paths or ())) for h, paths in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            out = [main_text(h or "", frozenset((x["path"], x["content"]) for x in found or ())) for h, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             columns = [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
