@@ -37,15 +37,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies; rows without an id stand in no group and stay."""
     _small_batches(spark)
     groups = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("first"), "left_semi")
+    kept = docs.join(groups, F.col("doc_id") == F.col("first"), "left_semi")
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no template window with a benchmark item."""
-    return templates.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    """Documents that share no template window with a benchmark item; rows without an id are told apart by their text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256)))
+    return templates.without_contaminated(docs.withColumn("key", key), read(spark, sf_dir, "benchmark"), id_col="key").drop("key")
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,8 @@ STAGES = [
     ("sentencepiece", as_pieces),
 ]
 
-#: Cross-parsing, fingerprints and pieces are not SQL; tests hold the stages against plain Python.
+#: Cross-parsing, fingerprints and pieces are not SQL.  Tests hold the near-copy and benchmark stages against
+#: small plain versions with null and repeated ids; the language stage has none on a table.
 ORACLE_SQL = None
 
 
