@@ -474,12 +474,12 @@ def rank_biserial(s, d):
 
 @query()
 def compare_techniques(s, d):
-    return I.compare_techniques(_scores(s, d), "F", "O", CARD, n_boot=2000)
+    return I.compare_techniques(_scores(s, d), "F", "O", CARD)
 
 
 @query()
 def technique_summary(s, d):
-    return I.technique_summary(_scores(s, d), n_boot=2000)
+    return I.technique_summary(_scores(s, d))
 
 
 @query(Q.query([Q.vox(MIXED), Q.AREAS, Q.spans()], f"select {K}, count(*) as n_labels, 100.0 * avg((z_span > 1)::int) as pct_multi_layer, avg(z_span) as mean_z_span, max(z_span) as max_z_span, count(*) filter (where has_z_gap) as n_with_z_gaps from spans group by all", "pct_multi_layer mean_z_span", "n_labels max_z_span n_with_z_gaps"))
