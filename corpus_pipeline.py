@@ -8,23 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewise.llm import language, lines, pieces, simhash, templates
-from planewise.llm.common import read, shared_folder
+from planewise.llm.common import delete_at_exit, read, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows of an Arrow batch at most: workers hold whole documents, and the same workers serve all stages.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1000
-
-
-def _small_batches(spark: SparkSession) -> None:
-    rows = int(spark.conf.get(BATCH, "0"))
-    if rows <= 0 or rows > BATCH_ROWS:
-        spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without letters go."""
-    _small_batches(spark)
     found = language.identify(docs, language.learn(docs))
     return found.where(F.col("lang_pred") != language.UNDETERMINED).select("row.*")
 
@@ -38,7 +28,6 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows without an id stand in no group and stay."""
-    _small_batches(spark)
     groups = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
     kept = docs.join(groups, F.col("doc_id") == F.col("first"), "left_semi")
     return kept.unionByName(docs.where("doc_id is null"))
@@ -52,7 +41,6 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, with digests of the ids and of the decoded text."""
-    _small_batches(spark)
     return pieces.round_trip(docs, with_ids=True)
 
 
@@ -73,6 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each one's result is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents").select(*COLUMNS)
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

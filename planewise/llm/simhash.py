@@ -10,12 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.llm.common import checkpoint, components
+from planewise.llm.common import checkpoint, components, split_join, tasks
 
 BITS = 64
 SEED = 42
-#: Distinct fingerprints that may share a one-wildcard key before that key is refined further.
-CROWDED = 16
+#: Texts that a worker holds as Python strings at a time.
+SLICE = 256
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -46,8 +46,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            fps = np.fromiter((fingerprint(t, width) for t in part.column(1).to_pylist()), np.int64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            for at in range(0, part.num_rows, SLICE):
+                few = part.slice(at, SLICE)
+                fps = np.fromiter((fingerprint(t, width) for t in few.column(1).to_pylist()), np.int64, few.num_rows)
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(batches, "id long, fp long")
@@ -63,32 +65,26 @@ def _one_wildcard(fp: str) -> str:
     return f"flatten(transform(sequence(0, 31), j -> array({low}, {high})))"
 
 
-def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def links(distinct: DataFrame) -> DataFrame:
     """Edges ``u``, ``v`` that connect the distinct fingerprints ``fp`` as all pairs at two bits or fewer would.
 
-    Groups of a one-wildcard key with up to ``crowded`` members are joined and every pair is verified.  A
-    fingerprint in a more crowded group instead gets its two-wildcard keys (2,016: any two bits left out), whose
-    groups hold four members at most; every pair within two bits shares such a key, and both its ends are in the
-    crowded group, so nothing is lost and no group's pairs are spelled out.
+    The one-wildcard keys are grouped, with partial counts.  The two members of a group of two are verified as a
+    pair.  Larger groups, such as near copies of one text make, would have a square of pairs; their members are
+    told apart further by the same idea on the whole fingerprint: each is entered under itself and under
+    its 64 one-bit variants.  Two fingerprints share an entry if and only if they differ in two bits or fewer, and
+    an entry has at most 65 members, so those are chained to their least without a pair being spelled out.
     """
-    keys = distinct.select("fp", F.explode(F.expr(_one_wildcard("fp"))).alias("key"))
+    n = tasks(distinct.sparkSession)
+    keys = distinct.repartition(n, "fp").select("fp", F.explode(F.expr(_one_wildcard("fp"))).alias("key"))
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     groups = checkpoint(groups.where("n > 1"))
-    near = "bit_count(a ^ b) <= 2"
-    pairs = groups.where("n = 2").where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    members = checkpoint(keys.join(groups.where("n > 2").select("key", "n"), "key"))
-    some = members.where(F.col("n") <= crowded)
-    other = some.select("key", F.col("fp").alias("b"))
-    some_pairs = some.select("key", F.col("fp").alias("a")).join(other, "key").where("a < b").where(near)
-    many = members.where(F.col("n") > crowded).select("fp").distinct()
-    masks = "flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> struct(i, j))))"
-    # dealt out evenly, a few for each task, since each makes 2,016 rows
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wild = many.repartitionByRange(tasks, "fp").select("fp", F.explode(F.expr(masks)).alias("m"))
-    wild = wild.select("fp", "m", F.expr("fp & ~(shiftleft(1L, m.i) | shiftleft(1L, m.j))").alias("rest"))
-    quads = wild.groupBy("rest", "m").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("fp")).alias("all"))
-    chain = quads.where("n > 1").select(F.explode(F.expr("transform(slice(all, 2, 3), x -> struct(all[0] as u, x as v))")).alias("e"))
-    return pairs.unionByName(some_pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(chain.select("e.u", "e.v")).distinct()
+    pairs = groups.where("n = 2 and bit_count(a ^ b) <= 2").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    many = split_join(keys, groups.where("n > 2").select("key", "n"), "key", "n").select("fp").distinct()
+    entries = "concat(array(fp), transform(sequence(0, 63), j -> fp ^ shiftleft(1L, j)))"
+    entered = many.repartition(n, "fp").select("fp", F.explode(F.expr(entries)).alias("entry"))
+    near = entered.groupBy("entry").agg(F.sort_array(F.collect_list("fp")).alias("all"))  # 65 at most
+    chain = near.where("size(all) > 1").select(F.explode(F.expr("transform(slice(all, 2, 64), x -> struct(x as u, all[0] as v))")).alias("e"))
+    return pairs.unionByName(chain.select("e.u", "e.v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -106,8 +102,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = checkpoint(fingerprints(docs, id_col, text_col, width))
     classes = checkpoint(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id", F.col("n").alias("fp_links"))
-    out = fps.join(named, "fp")
+    rooted = checkpoint(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    named = split_join(rooted, named, "root", "size").select("fp", "component_id", "n", F.col("n").alias("fp_links"))
+    out = split_join(fps, named, "fp", "n")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp_links")
