@@ -35,22 +35,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 #: Rows of one key that a task takes in a join; keys with more are dealt to ``SALTS`` tasks.
-HEAVY, SALTS = 500_000, 64
+HEAVY, SALTS = 100_000, 64
 
 
-def split_join(left: DataFrame, right: DataFrame, on: str, weight: str, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str] | str, weight: str, heavy: int = HEAVY) -> DataFrame:
     """``left`` joined with ``right``, which has a row for each key ``on`` and, as ``weight``, the key's rows in ``left``.
 
     The rows of a key with more than ``heavy`` rows are dealt by their content to ``SALTS`` tasks, to each of which the
     key's row of ``right`` goes.  There are fewer such keys than one for every ``heavy`` rows of ``left``, so they
     are broadcast.  Without them this is an ordinary equality join.
     """
-    crowded = F.broadcast(right.where(F.col(weight) > heavy).select(on, F.lit(True).alias("_crowded")))
+    on = [on] if isinstance(on, str) else on
+    crowded = F.broadcast(right.where(F.col(weight) > heavy).select(*on, F.lit(True).alias("_crowded")))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))
     dealt = left.join(crowded, on, "left").withColumn("_salt", F.when(F.col("_crowded"), spread).otherwise(F.lit(0)).cast("int"))
     salts = F.when(F.col(weight) > heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copies = right.withColumn("_salt", F.explode(salts)).drop(weight)
-    return dealt.join(copies, [on, "_salt"], how).drop("_salt", "_crowded")
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt", "_crowded")
 
 
 def components(edges: DataFrame, max_rounds: int = 60, heavy: int = HEAVY) -> DataFrame:

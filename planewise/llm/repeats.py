@@ -19,10 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planewise.llm import grams
-from planewise.llm.common import stored
+from planewise.llm.common import split_join, stored
 
-#: Bits of a text's checksum that tell apart rows that repeat an id.
-TAG_BITS = 20
 #: Bytes of text that a worker hashes at a time.
 CHUNK = 1 << 18
 
@@ -30,10 +28,13 @@ Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``tag`` and ``body`` (null: empty).  Rows that repeat an id are told apart by ``tag``, from the text."""
+    """``id``, ``body`` (null: empty), and ``key`` with ``tag``, which only rows with one id and one text share.
+
+    The key is the id, or a hash of the text where there is none; the tag is another 64-bit hash of the text.
+    """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body"))
-    return rows.select("id", (F.crc32("body") % (1 << TAG_BITS)).cast("int").alias("tag"), "body")
+    return rows.select("id", F.coalesce("id", F.xxhash64(F.lit(7), "body")).alias("key"), F.xxhash64("body").alias("tag"), "body")
 
 
 def sliced(parts: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -45,15 +46,15 @@ def sliced(parts: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Rec
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """``id``, ``tag`` and the compressed text ``z``: what is shuffled to meet the spans found in it."""
+    """``id``, ``key``, ``tag`` and the compressed text ``z``: what is shuffled to meet the spans found in it."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for part in sliced(parts):
-            z = [squeeze(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], ["id", "tag", "z"])
+            z = [squeeze(t) for t in part.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(z, pa.binary())], ["id", "key", "tag", "z"])
 
-    return rows.mapInArrow(batches, "id long, tag int, z binary")
+    return rows.mapInArrow(batches, "id long, key long, tag long, z binary")
 
 
 @cache
@@ -66,34 +67,31 @@ def opened(z: bytes) -> bytes:
 
 
 def blocks(rows: DataFrame, find: Callable[[pa.Array], Iterator[Found]], bits: int) -> DataFrame:
-    """Blocks of all texts: anchor bucket ``h`` of ``bits`` bits, content hash ``b``, ``id``, and ``place``.
+    """Blocks of all texts: anchor bucket ``h`` of ``bits`` bits, content hash ``b``, ``key``, ``tag``, and ``place``.
 
-    ``place`` packs the text's tag, the unit at which the block's first window begins, and how many windows
-    it has.  ``find`` gives, for an Arrow array of texts, arrays of text number, anchor, content, start and count.
+    ``place`` packs the unit at which the block's first window begins and how many windows it has.  ``find``
+    gives, for an Arrow array of texts, arrays of text number, anchor, content, start and count.
     """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(parts):
-            ids, tags = part.column(0), part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for which, anchor, content, start, count in find(part.column(2)):
+            for which, anchor, content, start, count in find(part.column(3)):
                 # an anchor is the least of many ids, so its leading bits are mostly zero until it is mixed again
                 anchor = grams.mix(anchor, anchor)
-                place = (tags[which] << (63 - TAG_BITS)) | (start << 8) | count
                 columns = [
                     pa.array((anchor >> np.uint64(64 - bits)).astype(np.int64), pa.int64()),
                     pa.array(content.view(np.int64)),
-                    ids.take(pa.array(which)),
-                    pa.array(place, pa.int64()),
+                    *(part.column(c).take(pa.array(which)) for c in (1, 2)),
+                    pa.array((start << 8) | count, pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "b", "id", "place"])
+                yield pa.RecordBatch.from_arrays(columns, ["h", "b", "key", "tag", "place"])
 
-    return rows.mapInArrow(batches, "h long, b long, id long, place long")
+    return rows.mapInArrow(batches, "h long, b long, key long, tag long, place long")
 
 
-def unpacked(place: str = "place") -> tuple[Column, Column, Column]:
-    """Tag, start and count that ``place`` packs."""
-    tag, start = f"cast(shiftright({place}, {63 - TAG_BITS}) as int)", f"shiftright({place}, 8) & {(1 << (55 - TAG_BITS)) - 1}L"
-    return F.expr(tag).alias("tag"), F.expr(start).alias("start"), F.expr(f"cast({place} & 255 as int)").alias("count")
+def unpacked(place: str = "place") -> tuple[Column, Column]:
+    """Start and count that ``place`` packs."""
+    return F.expr(f"shiftright({place}, 8)").alias("start"), F.expr(f"cast({place} & 255 as int)").alias("count")
 
 
 def anchor_bits(rows: DataFrame, units_per_block: float) -> int:
@@ -104,14 +102,14 @@ def anchor_bits(rows: DataFrame, units_per_block: float) -> int:
 
 def repeated(found: DataFrame) -> DataFrame:
     """The blocks whose anchor bucket has more than one block, written once to shared storage."""
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return stored(found.join(often, "h"))
+    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return stored(split_join(found, often, "h", "n"))
 
 
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """``packed`` texts with all ``spans`` of each (structs of start and end), null where there are none."""
-    each = spans.groupBy(F.col("id").alias("sid"), F.col("tag").alias("stag")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.join(each, texts["id"].eqNullSafe(each["sid"]) & (texts["tag"] == each["stag"]), "left").select("id", "z", "spans")
+    each = spans.groupBy(F.col("key").alias("skey"), F.col("tag").alias("stag")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return texts.join(each, (texts["key"] == each["skey"]) & (texts["tag"] == each["stag"]), "left").select("id", "z", "spans")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +131,3 @@ def span_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts, ends = (values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         yield starts[a:b], ends[a:b]
-
-
-def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and one past the last place of every run of true flags."""
-    edges = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planewise.llm import grams
+from planewise.llm.common import split_join
 from planewise.llm.repeats import CHUNK, Found, anchor_bits, blocks, keyed, merged, opened, packed, repeated, sliced, span_arrays, unpacked, with_spans
 
 LENGTH = 200
@@ -22,10 +24,14 @@ CROWDED = 4096
 UNIT, PIECE = 250_000, 1 << 20
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at every place as one number."""
+    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data.tobytes(), strides=(1,))
+
+
 def _buckets(data: np.ndarray, length: int) -> np.ndarray:
     """Bucket ids of every ``length`` bytes (8 at least): 8-byte words first, then refined by the bucket that follows."""
-    words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data.tobytes(), strides=(1,))
-    ids, q = words, 8
+    ids, q = _words(data), 8
     while q < length:
         step = min(q, length - q)
         ids = grams.mix(ids[: len(ids) - step], ids[step:])
@@ -79,45 +85,82 @@ def _window(ids: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarr
 
 
 def _pieces(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the ``wanted`` blocks (h, id, tag, start, count, alone), cut out of the whole texts."""
-    lists = wanted.groupBy(F.col("id").alias("wid"), F.col("tag").alias("wtag")).agg(F.collect_list(F.struct("h", "start", "count", "alone")).alias("all"))
-    joined = texts.join(lists, texts["id"].eqNullSafe(lists["wid"]) & (texts["tag"] == lists["wtag"])).select("id", "tag", "z", "all")
+    """The bytes of the ``wanted`` blocks (h, key, tag, start, count, alone), cut out of the whole texts."""
+    lists = wanted.groupBy(F.col("key").alias("wkey"), F.col("tag").alias("wtag")).agg(F.collect_list(F.struct("h", "start", "count", "alone")).alias("all"))
+    joined = texts.join(lists, (texts["key"] == lists["wkey"]) & (texts["tag"] == lists["wtag"])).select("key", "tag", "z", "all")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for few in sliced(parts, 200):
             out: list[list] = [[] for _ in range(7)]
-            for i, tag, z, every in zip(*(c.to_pylist() for c in few.columns), strict=True):
+            for key, tag, z, every in zip(*(c.to_pylist() for c in few.columns), strict=True):
                 body = opened(z)
                 for x in every:
-                    row = (x["h"], i, tag, x["start"], x["count"], x["alone"], body[x["start"] : x["start"] + x["count"] + length - 1])
+                    row = (x["h"], key, tag, x["start"], x["count"], x["alone"], body[x["start"] : x["start"] + x["count"] + length - 1])
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "id", "tag", "start", "count", "alone", "piece"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "key", "tag", "start", "count", "alone", "piece"])
 
-    return joined.mapInArrow(batches, "h long, id long, tag int, start long, count int, alone boolean, piece binary")
+    return joined.mapInArrow(batches, "h long, key long, tag long, start long, count int, alone boolean, piece binary")
 
 
-def _hashed(pieces: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
-    """Bucket ids of all windows of the pieces, in order."""
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    ids = _buckets(data, length)
-    begins = np.concatenate([[0], np.cumsum(counts + length - 1)[:-1]])
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    return ids[np.repeat(begins - first, counts) + np.arange(int(counts.sum()))]
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece of every window, and its number within the piece."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _refined(pieces: DataFrame, length: int) -> DataFrame:
+def refine(ids: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows at ``at`` that share a bucket with another one, sorted by bucket, and the bucket of each.
+
+    Every pass sorts what is left on the present bucket and on the bucket id, of ``gram`` bytes, at the next later
+    offset; the new buckets are those that the pass after it refines.  A bucket with one member is final and leaves.
+    """
+    live, bucket = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for offset in [*range(0, length - gram, gram), length - gram]:
+        if not len(live):
+            break
+        pointer = ids[at[live] + offset]
+        order = np.lexsort((pointer, bucket))
+        bucket, pointer = bucket[order], pointer[order]
+        rank = np.concatenate([[0], np.cumsum((bucket[1:] != bucket[:-1]) | (pointer[1:] != pointer[:-1]))])
+        shared = np.bincount(rank)[rank] > 1
+        live, bucket = live[order[shared]], rank[shared]
+    return live, bucket
+
+
+def same_bytes(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at ``at``, sorted by bucket, have their bytes in common with another one of their bucket."""
+    words = _words(data)
+    first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    least = at[first][np.cumsum(first) - 1]
+    same = np.ones(len(at), bool)
+    for offset in [*range(0, length - 8, 8), length - 8]:
+        same &= words[at + offset] == words[least + offset]
+    if same.all():
+        return same
+    # ids that agree by chance: these buckets are told apart by their bytes
+    for b in np.unique(bucket[~same]):
+        own = np.flatnonzero(bucket == b)
+        texts = [data[at[i] : at[i] + length].tobytes() for i in own]
+        often = Counter(texts)
+        same[own] = [often[t] > 1 for t in texts]
+    return same
+
+
+def _refined(pieces: DataFrame, length: int, gram: int) -> DataFrame:
     """Spans of the windows, of blocks that stand alone, that some other place has as well; whole anchor buckets at a time."""
 
     def unit(table: pa.Table) -> pa.RecordBatch:
         counts = table.column("count").to_numpy().astype(np.int64)
-        ids = _hashed(table.column("piece").to_pylist(), counts, length)
-        _, inverse, often = np.unique(ids, return_inverse=True, return_counts=True)
-        alone = np.repeat(table.column("alone").to_numpy(), counts)
-        flags = (often[inverse] > 1) & alone
-        row = np.repeat(np.arange(len(counts)), counts)
-        within = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+        data = np.frombuffer(b"".join(table.column("piece").to_pylist()), np.uint8)
+        row, within = _spread(counts)
+        at = (np.cumsum(counts + length - 1) - (counts + length - 1))[row] + within
+        live, bucket = refine(_buckets(data, gram), at, length, gram)
+        flags = np.zeros(len(row), bool)
+        if len(live):
+            flags[live] = same_bytes(data, at[live], bucket, length)
+        flags &= np.repeat(table.column("alone").to_numpy(), counts)
         # a run ends with its block
         edge = np.zeros(len(row) + 1, bool)
         edge[np.cumsum(counts)] = True
@@ -126,8 +169,8 @@ def _refined(pieces: DataFrame, length: int) -> DataFrame:
         a, b = np.flatnonzero(opens), np.flatnonzero(closes)
         start = table.column("start").to_numpy()[row[a]] + within[a]
         picked = pa.array(row[a])
-        keys = [table.column(c).combine_chunks().take(picked) for c in ("id", "tag")]
-        return pa.RecordBatch.from_arrays([*keys, pa.array(start), pa.array(start + (b - a) + length)], ["id", "tag", "start", "end"])
+        keys = [table.column(c).combine_chunks().take(picked) for c in ("key", "tag")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(start), pa.array(start + (b - a) + length)], ["key", "tag", "start", "end"])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -147,42 +190,46 @@ def _refined(pieces: DataFrame, length: int) -> DataFrame:
             yield unit(pa.Table.from_batches(held))
 
     # a bucket's blocks meet in one task, at most CROWDED of them; a task takes its buckets in order
-    return pieces.repartition("h").sortWithinPartitions("h").mapInArrow(batches, "id long, tag int, start long, end long")
+    return pieces.repartition("h").sortWithinPartitions("h").mapInArrow(batches, "key long, tag long, start long, end long")
 
 
 def _refined_by_shuffle(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for crowded buckets: one row for each window, counted with partial sums."""
+    """The same for crowded buckets: one row for each window, told apart by 128 bits and counted with partial sums."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lo in range(0, part.num_rows, 2000):
                 few = part.slice(lo, 2000)
                 counts = few.column(4).to_numpy().astype(np.int64)
-                ids = _hashed(few.column(6).to_pylist(), counts, length)
-                row = np.repeat(np.arange(len(counts)), counts)
-                within = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+                data = np.frombuffer(b"".join(few.column(6).to_pylist()), np.uint8)
+                row, within = _spread(counts)
+                at = (np.cumsum(counts + length - 1) - (counts + length - 1))[row] + within
+                ids = _buckets(data, length)[at]
+                halves = _buckets(data, length - length // 3)
+                other = grams.mix(halves[at + length // 3], halves[at])
                 picked = pa.array(row)
-                columns = [few.column(c).take(picked) for c in (0, 1, 2, 5)]
+                columns = [few.column(c).take(picked) for c in (1, 2, 5)]
                 start = few.column(3).to_numpy()[row] + within
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids.view(np.int64)), pa.array(start)], ["h", "id", "tag", "alone", "w", "start"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids.view(np.int64)), pa.array(other.view(np.int64)), pa.array(start)], ["key", "tag", "alone", "w", "w2", "start"])
 
-    windows = pieces.mapInArrow(batches, "h long, id long, tag int, alone boolean, w long, start long")
-    often = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
-    hit = windows.where("alone").join(often, ["h", "w"])
-    return hit.select("id", "tag", "start", (F.col("start") + length).alias("end"))
+    windows = pieces.mapInArrow(batches, "key long, tag long, alone boolean, w long, w2 long, start long")
+    often = windows.groupBy("w", "w2").agg(F.count("*").alias("n")).where("n > 1")
+    hit = split_join(windows.where("alone"), often, ["w", "w2"], "n")
+    return hit.select("key", "tag", "start", (F.col("start") + length).alias("end"))
 
 
 def repeated_spans(rows: DataFrame, texts: DataFrame, length: int, gram: int, crowded: int = CROWDED) -> DataFrame:
-    """``id``, ``tag``, ``start`` and ``end`` of strings, ``length`` bytes at least, whose windows all start elsewhere too."""
+    """``key``, ``tag``, ``start`` and ``end`` of strings, ``length`` bytes at least, whose windows all start elsewhere too."""
     found = blocks(rows, lambda column: find_blocks(column, length, gram), anchor_bits(rows, (length - gram + 2) / 2))
     again = repeated(found)
     # blocks that are equal as a whole need no refinement
-    kinds = again.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("one"))
-    settled = again.join(kinds.where("n > 1").select("h", "b"), ["h", "b"])
-    settled = settled.select("id", *unpacked()).select("id", "tag", "start", (F.col("start") + F.col("count") + (length - 1)).alias("end"))
+    kinds = again.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(F.struct("key", "tag", "place")).alias("one"))
+    settled = split_join(again, kinds.where("n > 1").select("h", "b", "n"), ["h", "b"], "n")
+    settled = settled.select("key", "tag", *unpacked()).select("key", "tag", "start", (F.col("start") + F.col("count") + (length - 1)).alias("end"))
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1")
-    wanted = kinds.join(mixed.select("h", "kinds"), "h").select("h", "kinds", (F.col("n") == 1).alias("alone"), "one.id", *unpacked("one.place"))
-    few = _refined(_pieces(texts, wanted.where(F.col("kinds") <= crowded), length), length)
+    wanted = split_join(kinds, mixed.select("h", "kinds", F.col("kinds").alias("rows")), "h", "rows")
+    wanted = wanted.select("h", "kinds", (F.col("n") == 1).alias("alone"), "one.key", "one.tag", *unpacked("one.place"))
+    few = _refined(_pieces(texts, wanted.where(F.col("kinds") <= crowded), length), length, gram)
     many = _refined_by_shuffle(_pieces(texts, wanted.where(F.col("kinds") > crowded), length), length)
     return settled.unionByName(few).unionByName(many)
 
@@ -195,10 +242,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs), ``kept_sha256`` of the bytes that stay and, if asked for, the bytes themselves as ``kept``.
 
     The method is bucket-pointer refinement.  Initial buckets are those of ``gram``-byte strings.  Only one
-    bucket is followed for each window, the least of those in it; a bucket with one member is final.  What shares
-    a bucket is refined by the bucket ids at later offsets, each pass reusing the ids of the one before, until
-    strings of ``length`` bytes are told apart: first whole blocks of neighbouring windows, then, in buckets whose
-    blocks differ, window by window.
+    bucket is followed for each window, the least of those in it; a bucket with one member is final.  Blocks of
+    neighbouring windows that share a bucket and a 64-bit hash of their content are equal as a whole.  Buckets whose
+    blocks differ are refined window by window: sorted on the bucket ids at later offsets, each pass
+    refining the buckets of the one before, until strings of ``length`` bytes are told apart, which are then compared
+    byte by byte (in buckets of over ``CROWDED`` different blocks: by 128 bits, with a shuffle).
 
     A null text is empty.  Rows that repeat an id are separate texts, so a row given twice repeats itself.
     Null ids keep a row each; an empty table gives an empty result; further columns are not read.

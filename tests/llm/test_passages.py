@@ -86,6 +86,26 @@ def test_strings(spark, monkeypatch, length, crowded):
     same(substrings.dedup_substrings(frame(spark, rows), length=length), cut_strings(rows, length))
 
 
+def test_strings_with_ids_that_repeat(spark):
+    """Thousands of rows without an id, rows of one id with different texts, and texts whose checksums agree."""
+    rng = random.Random(8)
+    shared = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(40)]
+    rows = [(None, rng.choice(shared)[rng.randrange(20) :] + str(k)) for k in range(5000)]
+    rows += [(7, shared[k % 40] + "x" * k) for k in range(50)] + [(None, shared[0]), (None, shared[0]), (None, None), (8, "short")]
+    same(substrings.dedup_substrings(frame(spark, rows), length=30), cut_strings(rows, 30))
+
+
+def test_refinement_compares_bytes():
+    """Windows that agree in their ids but not in their bytes are told apart."""
+    import numpy as np
+
+    data = np.frombuffer(b"abcdefghijklabcdefghijklabcdefghijkX", np.uint8)
+    at = np.array([0, 12, 24])
+    assert substrings.same_bytes(data, at, np.zeros(3, np.int64), 12).tolist() == [True, True, False]
+    live, bucket = substrings.refine(substrings._buckets(data, 8), at, 12, 8)
+    assert sorted(live.tolist()) == [0, 1] and len(set(bucket.tolist())) == 1
+
+
 def test_strings_in_pieces(monkeypatch):
     """A text hashed in overlapping pieces has the same windows."""
     import pyarrow as pa
@@ -105,6 +125,28 @@ def test_phrases(spark, width, gram, shard):
     same(phrases.dedup_phrases(frame(spark, rows), width=width, gram=gram, shard=shard), cut_phrases(rows, width))
 
 
+def test_phrases_whose_hashes_agree_stay(spark, monkeypatch):
+    """All words have one hash, so every window seems to recur; the automata find only what does."""
+    rng = random.Random(5)
+    own = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)) for _ in range(6)]
+    rows = [(k, t) for k, t in enumerate(own)]
+
+    class Weak(phrases.Shard):
+        def __init__(self, table, width, gram):
+            super().__init__(table, width, gram)
+            self.blocks.windows = self.blocks.windows * 0
+            self.blocks.anchor = self.blocks.anchor * 0
+            self.blocks.content = self.blocks.content * 0
+
+    monkeypatch.setattr(phrases, "Shard", Weak)
+    assert [r.n_removed for r in phrases.dedup_phrases(frame(spark, rows), width=5, gram=2).collect()] == [0] * 6
+    monkeypatch.undo()
+    again = frame(spark, [*rows, (9, own[2])])
+    assert {r.doc_id: r.n_removed for r in phrases.dedup_phrases(again).collect()}[9] == 30
+    monkeypatch.setattr(phrases, "automata", lambda passages: iter(()))
+    assert {r.doc_id: r.n_removed for r in phrases.dedup_phrases(again).collect()}[9] == 0
+
+
 def test_lines(spark):
     rows = random_rows(["one", "two", ""], "\n", 4) + [(80, "a\nb\nc\na\nb\nc\na\nb\nc"), (81, "z\nz\nz\nz\nz"), (82, "a\nb")]
     same(lines.dedup_lines(frame(spark, rows)), cut_lines(rows))
