@@ -124,16 +124,14 @@ def _shard_of(key: str, n: int) -> F.Column:
 def _recurring(rows: DataFrame, key: str) -> DataFrame:
     """Of shard summaries, those whose key occurs in two documents, with the first document and place.
 
-    A key has one row from each shard at most, however often it occurs.  Where rows have a content ``b``, ``mixed`` says
-    whether there are several.
+    A key has one row from each shard at most, however often it occurs, so a window over a key holds a few bytes for
+    each shard.  Where rows have a content ``b``, ``mixed`` says whether there are several.
     """
-    one = "min(b) <=> max(b) and count(b) = count(*)" if "b" in rows.columns else "true"
+    over = f"over (partition by {key})"
+    one = f"min(b) {over} <=> max(b) {over} and count(b) {over} = count(*) {over}" if "b" in rows.columns else "true"
     # without the shards' own marks, no two of them agree on a document, as ids are dealt by their hash
-    least = rows.groupBy(key).agg(
-        F.min(F.struct("low", "place")).alias("least"), F.count("*").alias("shards"), F.bool_or("many").alias("any"), F.expr(f"not ({one})").alias("mixed")
-    )
-    least = least.where("shards > 1 or any").select(key, F.col("least.low").alias("first"), F.col("least.place").alias("at"), "mixed", "shards")
-    return split_join(rows.select("p", key, "low", "many"), least, key, "shards")
+    rows = rows.selectExpr("p", key, "low", "many", f"min(struct(low, place)) {over} as least", f"count(*) {over} > 1 or many as again", f"not ({one}) as mixed")
+    return rows.where("again").selectExpr("p", key, "low", "many", "least.low as first", "least.place as at", "mixed")
 
 
 def _anchors(texts: DataFrame, width: int, gram: int) -> DataFrame:
