@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: One segmentation of one field of view by one technique.
@@ -23,10 +21,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def same(left: DataFrame, right: DataFrame, on: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c] == right[c] for c in on])
-
-
 def first_of_largest(value: Column, place: Column) -> Column:
     """Aggregate: the smallest ``place`` among the largest ``value``."""
     return -F.max(F.struct(value.alias("v"), (-place).alias("p"))).getField("p")

@@ -20,14 +20,24 @@ def bin_edges(voxels: DataFrame, n_bins: int = FLOAT_BINS, max_exact: int = MAX_
     Whole numbers over a short range get a bin for each value; else bins divide the range evenly, and a
     constant image is widened by 1.
     """
-    ends = voxels.groupBy(*keys).agg(F.min("brightness").alias("a"), F.max("brightness").alias("b"), F.bool_and(F.col("brightness") == F.floor("brightness")).alias("whole"))
-    exact = F.col("whole") & (F.col("b") - F.col("a") < max_exact)
-    top = F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a") + 1)
-    return ends.select(
+    return edges_of(voxels.groupBy(*keys).agg(*ends()), n_bins, max_exact, keys)
+
+
+def ends(low: str = "brightness", high: str = "brightness", whole: str | None = None) -> list[Column]:
+    """Aggregates ``low``, ``high`` and ``whole`` of a group's brightness, or of such aggregates of its parts."""
+    integral = F.col("brightness") == F.floor("brightness") if whole is None else F.col(whole)
+    return [F.min(low).alias("low"), F.max(high).alias("high"), F.bool_and(integral).alias("whole")]
+
+
+def edges_of(ranges: DataFrame, n_bins: int = FLOAT_BINS, max_exact: int = MAX_EXACT_BINS, keys: tuple[str, ...] = IMAGE) -> DataFrame:
+    """The bins for a row of ``ends`` for each image."""
+    exact = F.col("whole") & (F.col("high") - F.col("low") < max_exact)
+    top = F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(F.col("low") + 1)
+    return ranges.select(
         *keys,
-        F.when(exact, F.col("a") - 0.5).otherwise(F.col("a")).alias("lo"),
-        F.when(exact, F.lit(1.0)).otherwise((top - F.col("a")) / n_bins).alias("width"),
-        F.when(exact, (F.col("b") - F.col("a") + 1).cast("int")).otherwise(F.lit(n_bins)).alias("n_bins"),
+        F.when(exact, F.col("low") - 0.5).otherwise(F.col("low")).alias("lo"),
+        F.when(exact, F.lit(1.0)).otherwise((top - F.col("low")) / n_bins).alias("width"),
+        F.when(exact, (F.col("high") - F.col("low") + 1).cast("int")).otherwise(F.lit(n_bins)).alias("n_bins"),
         exact.alias("exact"),
     )
 
@@ -114,23 +124,48 @@ def point_biserial(hist: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return spread.select(*by, r.alias("point_biserial_r"))
 
 
+def _side_stats(hist: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """All statistics of both sides of each group, from one pass over its bins in order.
+
+    Columns ``a`` are masked, ``b`` unmasked counts.  Every window has the same partitions, so one shuffle serves all.
+    """
+    whole = Window.partitionBy(*by)
+    run = whole.orderBy("bin")
+    x = groups(hist, by).withColumn("c", centre())
+    x = x.withColumns({"a_upto": F.sum("a").over(run), "b_upto": F.sum("b").over(run), "a_all": F.sum("a").over(whole), "b_all": F.sum("b").over(whole)})
+
+    def at(side: str, q: float) -> Column:
+        inside = left_edge() + F.col("width") * (q * F.col(f"{side}_all") - (F.col(f"{side}_upto") - F.col(side))) / F.col(side)
+        reached = (F.col(side) > 0) & (F.col(f"{side}_upto") >= q * F.col(f"{side}_all"))
+        return F.min(F.when(reached, F.struct("bin", inside.alias("v"))))
+
+    total = F.sum((F.col("a") + F.col("b")) * F.col("c")).over(whole)
+    x = x.withColumns({"a_mid": at("a", 0.5).over(whole)["v"], "b_mid": at("b", 0.5).over(whole)["v"], "m": total / (F.col("a_all") + F.col("b_all"))})
+
+    def up_to(point: str) -> Column:
+        return F.least(F.greatest((F.col(point) - left_edge()) / F.col("width"), F.lit(0.0)), F.lit(1.0))
+
+    a, b = F.sum("a"), F.sum("b")
+    mean_a, mean_b = ratio(F.sum(F.col("a") * F.col("c")), a), ratio(F.sum(F.col("b") * F.col("c")), b)
+    sd = F.sqrt(F.sum((F.col("a") + F.col("b")) * (F.col("c") - F.col("m")) ** 2) / (a + b))
+    p = a / (a + b)
+    below = F.col("b_upto") - F.col("b")
+    return x.groupBy(*by).agg(
+        (a + b).cast("long").alias("n_pixels"), a.cast("long").alias("n_masked"),
+        mean_a.alias("mean_masked"), mean_b.alias("mean_unmasked"),
+        F.max("a_mid").alias("median_masked"), F.max("b_mid").alias("median_unmasked"),
+        at("a", 0.25)["v"].alias("p25_masked"), at("b", 0.25)["v"].alias("p25_unmasked"),
+        at("a", 0.75)["v"].alias("p75_masked"), at("b", 0.75)["v"].alias("p75_unmasked"),
+        ratio(a, a + b).alias("frac_masked"), F.try_divide(F.sum(F.col("a") * (below + 0.5 * F.col("b"))), a * b).alias("auc"),
+        (F.try_divide(mean_a - mean_b, sd) * F.sqrt(p * (1 - p))).alias("point_biserial_r"),
+        F.when(F.max("b_mid").isNotNull(), ratio(F.sum(F.col("a") * up_to("b_mid")), a)).alias("dim_masked_rate"),
+        F.when(F.max("a_mid").isNotNull(), ratio(F.sum(F.col("b") * up_to("a_mid")), b)).alias("below_rate"),
+    )
+
+
 def group_stats(hist: DataFrame, by: tuple[str, ...] = KEYS) -> DataFrame:
     """All statistics of masked and unmasked brightness for each group of ``by``."""
-    own = hist.groupBy(*by, "masked", "bin", "lo", "width").agg(F.sum("n").alias("n"))
-    side = (*by, "masked")
-    numbers = own.groupBy(*side).agg(F.sum("n").alias("n"), ratio(F.sum(F.col("n") * centre()), F.sum("n")).alias("mean"))
-    numbers = numbers.join(quantiles(own, {"median": 0.5, "p25": 0.25, "p75": 0.75}, side), list(side))
-
-    def of(value: str, masked: bool) -> Column:
-        return F.max(F.when(F.col("masked") == masked, F.col(value)))
-
-    wide = numbers.groupBy(*by).agg(
-        F.sum("n").alias("n_pixels"),
-        F.coalesce(of("n", True), F.lit(0)).alias("n_masked"),
-        *(of(v, m).alias(f"{v}_{'masked' if m else 'unmasked'}") for v in ("mean", "median", "p25", "p75") for m in (True, False)),
-    )
-    wide = wide.withColumn("frac_masked", ratio(F.col("n_masked"), F.col("n_pixels")))
-    return wide.join(auc(groups(own, by), by), list(by), "left").join(point_biserial(own, by), list(by), "left")
+    return _side_stats(hist, by).drop("dim_masked_rate", "below_rate")
 
 
 def summarise_by_z(hist: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -143,14 +178,9 @@ def summarise_pooled(hist: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame
 
 def brightness_stats(hist: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The pooled statistics that are scored, with the overlap rates of both groups."""
-    pool = pooled(hist, keys)
-    stats = group_stats(pool, keys)
-    dim = cdf_at(pool.where("masked"), stats.select(*keys, F.col("median_unmasked").alias("point")), keys, "dim_masked_rate")
-    bright = cdf_at(pool.where("not masked"), stats.select(*keys, F.col("median_masked").alias("point")), keys, "below_rate")
     iqr = F.col("p75_unmasked") - F.col("p25_unmasked")
-    out = stats.join(dim, list(keys), "left").join(bright, list(keys), "left")
     shift = F.when(iqr > 0, (F.col("median_masked") - F.col("median_unmasked")) / iqr)
-    return out.select(
+    return _side_stats(hist, keys).select(
         *keys, F.col("n_pixels").alias("n_voxels"), "n_masked", "frac_masked", F.col("auc").alias("separability"), "mean_masked", "mean_unmasked",
         "median_masked", "median_unmasked", shift.alias("median_shift_iqr"), "dim_masked_rate", (1.0 - F.col("below_rate")).alias("bright_unmasked_rate"), "point_biserial_r",
     )
@@ -181,6 +211,23 @@ def display_edges(hist: DataFrame, by: tuple[str, ...], n_bins: int = DISPLAY_BI
     return ends.select(*by, "new_lo", ((hi - F.col("new_lo")) / n_bins).alias("new_width"), F.lit(n_bins).alias("new_bins"))
 
 
+def display_bins(hist: DataFrame, by: tuple[str, ...] = KEYS, n_bins: int = 120, clip: float = CLIP_QUANTILE) -> DataFrame:
+    """Both sides on even bins from the lowest edge to the centre of the bin that reaches the clip quantile; the rest is dropped."""
+    flat = hist.groupBy(*by, "bin", "lo", "width").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*by)
+    run = flat.withColumn("share", F.sum("n").over(w.orderBy("bin")) / F.sum("n").over(w)).withColumn("c", centre())
+    cut = F.coalesce(F.min(F.when(F.col("share") >= clip, F.col("c"))), F.max("c"))
+    edges = run.groupBy(*by).agg(F.min("lo").alias("new_lo"), cut.alias("cut"))
+    edges = edges.select(*by, "new_lo", ((F.col("cut") - F.col("new_lo")) / n_bins).alias("new_width"), F.lit(n_bins).alias("new_bins"))
+    return rebin(hist, edges, (*by, "masked"), by, fold=False)
+
+
+def overflow(hist: DataFrame, edges: DataFrame, by: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
+    """How many of each group's counts lie beyond the last of the edges that ``display_edges`` gives."""
+    past = left_edge() >= F.col("new_lo") + F.col("new_width") * F.col("new_bins")
+    return hist.join(edges, list(on)).groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(past, F.col("n")).otherwise(0)).alias("n_over"))
+
+
 def display_range(hist: DataFrame, by: tuple[str, ...], n_bins: int = DISPLAY_BINS, clip: float = CLIP_QUANTILE) -> DataFrame:
     """One common range over all groups: a single row."""
     own = display_edges(hist, by, n_bins, clip)

@@ -65,9 +65,40 @@ def change_summary(changes: DataFrame, cutoff: float = CHANGE_CUTOFF, metric: st
     )
 
 
-def log_axis(changes: DataFrame, cutoff: float = CHANGE_CUTOFF, decades: int = 4, metric: str = "abs_frac_change") -> DataFrame:
-    """Lower and upper end of a logarithmic axis that shows all values and the cutoff."""
-    ends = changes.agg(F.greatest(F.max(metric), F.lit(1.2 * cutoff)).alias("top"), F.min(F.when(F.col(metric) > 0, F.col(metric))).alias("least"))
-    low = F.pow(F.lit(10.0), F.floor(F.log10(F.coalesce("least", F.lit(cutoff / 10)))))
-    low = F.greatest(low, F.col("top") / 10.0**decades)
-    return ends.select(F.least(low, F.col("top") / 10, F.lit(cutoff / 10)).alias("lo"), F.col("top").alias("hi"))
+def layer_spread(changes: DataFrame, metric: str = "abs_frac_change", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Mean, quartiles and standard error of each transition: the bands that the change plots draw."""
+    spread = F.try_divide(F.stddev_samp(metric), F.sqrt(F.count("*")))
+    return changes.groupBy(*keys, "z_from", "z_to").agg(
+        F.count("*").alias("n_objects"), F.avg(metric).alias("mean_change"), F.percentile(metric, F.lit(0.25)).alias("p25_change"), F.percentile(metric, F.lit(0.75)).alias("p75_change"), spread.alias("sem_change")
+    )
+
+
+def compare_layer_change(changes: DataFrame, metric: str = "abs_frac_change") -> DataFrame:
+    """The same for each technique over all its fields."""
+    return layer_spread(changes, metric, ("method",))
+
+
+def log_axis(changes: DataFrame, cutoff: float | None = CHANGE_CUTOFF, decades: int = 4, metric: str = "abs_frac_change", xmin: float | None = None, xmax: float | None = None) -> DataFrame:
+    """Lower and upper end of a logarithmic axis.
+
+    Up to the largest change, with the cutoff in view (1 if nothing changes), or to ``xmax``; down to the decade of the
+    least positive change, but ``decades`` at most, or to ``xmin``; one decade at least, and one below the cutoff.
+    """
+    most, least = F.max(metric), F.min(F.when(F.col(metric) > 0, F.col(metric)))
+    ends = changes.agg((most if xmax is None else F.lit(float(xmax))).alias("most"), least.alias("least"))
+    top = F.when(F.col("most") > 0, F.col("most")).otherwise(1.0)
+    if cutoff is not None and xmax is None:
+        top = F.greatest(top, F.lit(1.2 * cutoff))
+    ends = ends.select("least", top.alias("top"))
+    floor = F.col("top") / 10.0**decades
+    low = F.coalesce(F.greatest(F.pow(F.lit(10.0), F.floor(F.log10("least"))), floor), floor) if xmin is None else F.lit(float(xmin))
+    low = F.least(low, F.col("top") / 10)
+    return ends.select((low if cutoff is None else F.least(low, F.lit(cutoff / 10))).alias("lo"), F.col("top").alias("hi"))
+
+
+def change_histogram(changes: DataFrame, cutoff: float = CHANGE_CUTOFF, bins: int = 60, metric: str = "abs_frac_change", keys: tuple[str, ...] = ("method",)) -> DataFrame:
+    """Changes by logarithmic bin on the axis that ``log_axis`` gives; those below it count in the first bin, those of zero too."""
+    axis = log_axis(changes, cutoff, metric=metric)
+    at = F.floor(bins * F.log10(F.greatest(F.col(metric), F.col("lo")) / F.col("lo")) / F.log10(F.col("hi") / F.col("lo")))
+    binned = changes.crossJoin(F.broadcast(axis)).select(*keys, F.least(at, F.lit(bins - 1)).cast("long").alias("bin"))  # one row
+    return binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from planewise.functions.columns import ratio
 from planewise.functions.constants import POLARITY
+from planewise.functions.storage import written
 
 PAIR = ("region", "fov")
 
@@ -22,12 +23,49 @@ def paired(table: DataFrame, a: str, b: str, columns: tuple[str, ...], keys: tup
     return wide.where("x is not null and y is not null").withColumn("diff", F.col("y") - F.col("x"))
 
 
-def hodges_lehmann(pairs: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
+def walsh_median(diffs: np.ndarray) -> float | None:
+    """Median of the means of all pairs, each value with itself too, without listing the pairs.
+
+    The range of a pair's sum is halved until few pairs are left around the rank sought; those are sorted.
+    """
+    d = np.sort(diffs)
+    n = len(d)
+    if not n:
+        return None
+    places = np.arange(n)
+    most = max(64, 4 * n)
+    total = n * (n + 1) // 2
+
+    def upto(bound: float) -> np.ndarray:
+        """For each value, how many of those from itself on make a sum of at most ``bound`` with it."""
+        return np.maximum(np.searchsorted(d, bound - d, "right") - places, 0)
+
+    def sum_of_rank(k: int) -> float:
+        low, high = 2 * d[0] - 1, 2 * d[-1] + 1
+        under, over = 0, total
+        while over - under > most:
+            middle = low + (high - low) / 2
+            if not low < middle < high:
+                return float(high)
+            count = int(upto(middle).sum())
+            if count <= k:
+                low, under = middle, count
+            else:
+                high, over = middle, count
+        begin, end = upto(np.nextafter(low, -np.inf)), upto(np.nextafter(high, np.inf))
+        sums = np.sort(np.concatenate([d[i] + d[i + begin[i] : i + end[i]] for i in range(n)]))
+        return float(sums[k - int(begin.sum())])
+
+    return (sum_of_rank((total - 1) // 2) + sum_of_rank(total // 2)) / 4
+
+
+def hodges_lehmann(pairs: DataFrame) -> DataFrame:
     """Median of the means of all pairs of differences, each with itself too; a metric has a row for each field."""
-    key = F.struct(*keys)
-    left, right = pairs.select("metric", key.alias("k"), F.col("diff").alias("d")), pairs.select("metric", key.alias("k2"), F.col("diff").alias("d2"))
-    walsh = left.join(right, "metric").where("k <= k2").select("metric", ((F.col("d") + F.col("d2")) / 2).alias("w"))
-    return walsh.groupBy("metric").agg(F.median("w").alias("hl_shift"))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"metric": [frame["metric"].iloc[0]], "hl_shift": [walsh_median(frame["diff"].to_numpy())]})
+
+    return pairs.select("metric", "diff").groupBy("metric").applyInPandas(one, "metric string, hl_shift double")
 
 
 def rank_biserial(pairs: DataFrame) -> DataFrame:
@@ -91,7 +129,7 @@ def resampled(pairs: DataFrame, n_boot: int = 10000, alpha: float = 0.05, seed:
 
 def compare_techniques(table: DataFrame, a: str, b: str, columns: tuple[str, ...], n_boot: int = 10000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Everything about the paired differences of each metric, and which technique is better by its polarity."""
-    pairs = paired(table, a, b, columns)
+    pairs = written(paired(table, a, b, columns))
     out = paired_medians(pairs).join(hodges_lehmann(pairs), "metric", "left").join(resampled(pairs, n_boot, alpha, seed), "metric", "left").join(rank_biserial(pairs), "metric", "left")
     polarity = F.element_at(F.create_map(*(F.lit(x) for kv in POLARITY.items() for x in kv)), F.col("metric"))
     sign = F.signum(F.col("median_diff")) * F.coalesce(polarity, F.lit(0))

@@ -3,38 +3,78 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.functions.columns import KEYS, ratio
+from planewise.functions.columns import IMAGE, KEYS, ratio
 from planewise.functions.constants import AREA_FLOOR, JITTER_CUTOFF, SCORE_WEIGHTS, SLIVER_FRAC, SWAY_CUTOFF
+from planewise.functions.storage import written
 from planewise.operators import areas as A
 from planewise.operators import brightness as B
 from planewise.operators import profile as P
 
 
-@dataclass(frozen=True)
 class Scan:
-    """What a scan yields, for all fields and techniques at once; nothing is computed before it is used."""
+    """What a scan yields, for all fields and techniques at once; each table is derived on first use and then kept.
 
-    masks: DataFrame
-    brightness: DataFrame
-    filters: DataFrame
-    hist: DataFrame
+    Voxels are read twice: for the areas, with each image's range of brightness, and for the histograms, whose bins depend
+    on the range and whose masked voxels depend on the filter.  Both tables are small beside the voxels and
+    written once; everything else is derived from them.
+    """
+
+    def __init__(self, voxels: DataFrame, area_floor: float = AREA_FLOOR, sliver_frac: float = SLIVER_FRAC, drop: bool = True, drop_in: tuple[str, ...] | None = None, keys: tuple[str, ...] = KEYS) -> None:
+        self.voxels, self.area_floor, self.sliver_frac, self.drop, self.drop_in, self.keys = voxels, area_floor, sliver_frac, drop, drop_in, keys
+
+    @cached_property
+    def planes(self) -> DataFrame:
+        """Voxels and brightness range of every label, background included, on every plane."""
+        return written(self.voxels.groupBy(*self.keys, "label", "z").agg(F.count("*").alias("area"), *B.ends()))
+
+    @cached_property
+    def areas(self) -> DataFrame:
+        """All plane areas, before the filter."""
+        return self.planes.where("label > 0").select(*self.keys, "label", "z", "area")
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        return A.span_table(self.areas, self.keys)
+
+    @cached_property
+    def dropped(self) -> DataFrame:
+        """Labels that the filter makes background."""
+        return A.single_slice(self.spans, self.drop, self.drop_in, self.keys)
+
+    @cached_property
+    def filters(self) -> DataFrame:
+        return A.filter_report(self.spans, self.drop, self.drop_in, self.keys)
+
+    @cached_property
+    def kept_areas(self) -> DataFrame:
+        return self.areas.join(self.dropped, [*self.keys, "label"], "left_anti")
+
+    @cached_property
+    def masks(self) -> DataFrame:
+        """A row for each kept mask, measured and flagged."""
+        spans = A.thin_and_deep(A.span_table(self.kept_areas, self.keys))
+        return P.mask_table(spans, P.profiles(self.kept_areas, self.area_floor, self.sliver_frac, self.keys), JITTER_CUTOFF, SWAY_CUTOFF, self.keys)
+
+    @cached_property
+    def hist(self) -> DataFrame:
+        """Brightness by plane; removed voxels have joined the unmasked ones."""
+        edges = B.edges_of(self.planes.groupBy(*IMAGE).agg(*B.ends("low", "high", "whole")))
+        return written(B.histograms(A.drop_labels(self.voxels, self.dropped, self.keys), edges, self.keys))
+
+    @cached_property
+    def brightness(self) -> DataFrame:
+        return B.brightness_stats(self.hist, self.keys)
 
 
 def scan(voxels: DataFrame, area_floor: float = AREA_FLOOR, sliver_frac: float = SLIVER_FRAC, drop: bool = True, drop_in: tuple[str, ...] | None = None, keys: tuple[str, ...] = KEYS) -> Scan:
-    """Filter, measure and flag every mask; removed voxels join the unmasked ones before brightness is counted."""
-    measured = A.plane_areas(voxels, keys)
-    kept, _, areas, report = A.filter_single_slice(voxels, measured, drop, drop_in, keys)
-    spans = A.thin_and_deep(A.span_table(areas, keys))
-    masks = P.mask_table(spans, P.profiles(areas, area_floor, sliver_frac, keys), JITTER_CUTOFF, SWAY_CUTOFF, keys)
-    hist = B.histograms(kept, B.bin_edges(voxels), keys)
-    return Scan(masks, B.brightness_stats(hist, keys), report, hist)
+    """Filter, measure and flag every mask."""
+    return Scan(voxels, area_floor, sliver_frac, drop, drop_in, keys)
 
 
 def fov_metrics(masks: DataFrame, brightness: DataFrame | None = None, filters: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -75,6 +115,11 @@ def scorecard(voxels: DataFrame, weights: Mapping[str, float] | None = None, wit
     return score_fovs(fov_metrics(s.masks, s.brightness if with_brightness else None, s.filters), weights)
 
 
+def region_cards(scores: DataFrame) -> dict[str, DataFrame]:
+    """One card for each region; a field's scores do not depend on the grouping."""
+    return {r.region: scores.where(F.col("region") == r.region).drop("region") for r in scores.select("region").distinct().collect()}
+
+
 def old_card(masks: DataFrame, filters: DataFrame, flagged: str = "large_jitter", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The earlier card: thinness counts thin and single-slice masks, stability the flagged ones."""
     own = masks.groupBy(*keys).agg((100.0 * F.avg(F.col("thin").cast("double"))).alias("t"), (100.0 * F.avg(F.col(flagged).cast("double"))).alias("f"))

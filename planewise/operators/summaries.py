@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planewise.functions.columns import KEYS, ratio
+from planewise.sources.catalog import variant
 
 
 def span_summary(spans: DataFrame, group: tuple[str, ...] = ("method",)) -> DataFrame:
@@ -93,3 +94,23 @@ def coverage(spans: DataFrame) -> DataFrame:
 def centroids(rates: DataFrame) -> DataFrame:
     """Mean yield and thin rate of each technique, over its fields."""
     return rates.groupBy("method").agg(F.avg("n_masks").alias("mean_yield"), F.avg("thin_rate").alias("mean_thin_rate"))
+
+
+def centroid_shift(rates: DataFrame, a: str, b: str) -> DataFrame:
+    """How the mean yield and thin rate move from technique a to technique b."""
+    own = centroids(rates)
+
+    def step(c: str) -> F.Column:
+        return F.max(F.when(F.col("method") == b, F.col(c))) - F.max(F.when(F.col("method") == a, F.col(c)))
+
+    return own.agg(step("mean_yield").alias("d_yield"), step("mean_thin_rate").alias("d_thin_rate"))
+
+
+def variant_summary(spans: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """``volume_summary`` for each combination of levels, as one column ``variant``."""
+    return volume_summary(spans.withColumn("variant", variant(*levels)), ("variant",))
+
+
+def quiet_sample(masks: DataFrame, flagged: str, n: int = 80, seed: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """At most ``n`` masks that are not flagged, picked by a seeded hash, for the background of a profile plot."""
+    return masks.where(~F.col(flagged)).orderBy(F.xxhash64(F.lit(seed), *keys, "label"), *keys, "label").limit(n)

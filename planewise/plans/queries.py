@@ -286,6 +286,26 @@ def brightness_distribution(s, d):
     return B.distribution(B.pooled(_hist(s, d)).groupBy("method", "masked", "bin").agg(F.sum("n").alias("n")))
 
 
+_cutting = Q.stage("cutting", f"select {K}, min(lo) as new_lo, (coalesce(min(case when share >= 0.999 then c end), max(c)) - min(lo)) / 120 as new_width, 120 as new_bins from (select *, {Q.CENTRE} as c, sum(n) over (partition by {K} order by bin) / sum(n) over (partition by {K}) as share from flat) r group by {K}")
+_last = f"{Q.CENTRE} = new_lo + new_width * new_bins"
+
+
+@query(Q.query([*POOL, _display[len(POOL)], _cutting], f"select {K}, masked, cast(case when {_last} then new_bins - 1 else floor(({Q.CENTRE} - new_lo) / new_width) end as bigint) as bin, new_lo as lo, new_width as width, sum(n) as n from pooled join cutting using ({K}) where {_last} or floor(({Q.CENTRE} - new_lo) / new_width) between 0 and new_bins - 1 group by all", "lo width", "n"))
+def display_bins(s, d):
+    return B.display_bins(B.pooled(_hist(s, d)))
+
+
+@query(Q.query([*_display, Q.stage("shown", f"select {K}, new_lo, (case when hi > new_lo then hi else new_lo + 1 end - new_lo) / 60 as new_width, 60 as new_bins from (select {K}, min(lo + bin * width) as new_lo from flat where n > 0 group by all) e join quants using ({K})")], f"select {K}, masked, sum(n) as n, sum(case when lo + bin * width >= new_lo + new_width * new_bins then n else 0 end) as n_over from pooled join shown using ({K}) group by all", "", "n n_over"))
+def display_overflow(s, d):
+    pool = B.pooled(_hist(s, d))
+    return B.overflow(pool, B.display_edges(pool, KEYS), (*KEYS, "masked"), KEYS)
+
+
+@query(Q.query([*_display, Q.stage("shown", f"select min(new_lo) as new_lo, max(new_lo + new_width * 60) as hi from (select new_lo, (case when hi > new_lo then hi else new_lo + 1 end - new_lo) / 60 as new_width from (select {K}, min(lo + bin * width) as new_lo from flat where n > 0 group by all) e join quants using ({K})) f")], "select new_lo, (hi - new_lo) / 60 as new_width, 60 as new_bins from shown", "new_lo new_width", "new_bins"))
+def display_range(s, d):
+    return B.display_range(B.pooled(_hist(s, d)), KEYS)
+
+
 _layers = Q.stage("t", f"select {K}, max(case when masked then q end) as mt, max(case when not masked then q end) as ut from quants group by {K}")
 
 
@@ -326,6 +346,12 @@ def cutoff_within_float(s, d):
     return X.cutoff_within(B.pooled(_hist(s, d, "float")), FINE_CUTOFF)
 
 
+@query(Q.query([*BASE_MIXED, Q.EDGES, Q.hist("kvox"), Q.POOLED, _split(CUTOFF)], _within, "pct_below pct_above auc_below auc_above"))
+def cutoff_within_filtered(s, d):
+    """After the single-slice filter: removed voxels count as unmasked."""
+    return X.cutoff_within(B.pooled(_scan(s, d).hist), CUTOFF)
+
+
 _by = "region, fov, masked"
 _both = Q.stage("pair", f"select {_by}, bin, sum(case when method = 'F' then below else 0 end) as ba, sum(case when method = 'F' then above else 0 end) as aa, sum(case when method = 'O' then below else 0 end) as bb, sum(case when method = 'O' then above else 0 end) as ab from split group by all")
 _low, _high = (Q.stage(n, f"select {_by}, bin, {a} as a, {b} as b from pair") for n, a, b in (("low", "ba", "bb"), ("high", "aa", "ab")))
@@ -365,6 +391,13 @@ def score_fovs(s, d):
     return S.score_fovs(S.fov_metrics(c.masks, c.brightness, c.filters))
 
 
+@query(Q.query(SCORES, f"select * from scores where region = (select min(region) from scores)", " ".join(CARD)))
+def region_card(s, d):
+    """The card of the first region by name: the scores that its fields have among all."""
+    cards = S.region_cards(S.score_fovs(S.fov_metrics((c := _scan(s, d)).masks, c.brightness, c.filters)))
+    return cards[min(cards)].withColumn("region", F.lit(min(cards)))
+
+
 @query(Q.query([*METRICS, *Q.scores(SCORE_WEIGHTS, signal=False)], "select * from scores", " ".join(CARD)))
 def score_no_signal(s, d):
     return S.score_fovs(S.fov_metrics(_scan(s, d).masks))
@@ -428,6 +461,33 @@ def relative_outliers(s, d):
     return C.relative_outliers(C.area_change(_areas(s, d, SUPPLIER)), 3.0)
 
 
+_spread = "count(*) as n_objects, avg(abs_frac_change) as mean_change, quantile_cont(abs_frac_change, 0.25) as p25_change, quantile_cont(abs_frac_change, 0.75) as p75_change, stddev_samp(abs_frac_change) / sqrt(count(*)) as sem_change"
+_SPREAD = ("mean_change p25_change p75_change sem_change", "z_from z_to n_objects")
+
+
+@query(_change("abs_frac_change", f"select {K}, z_from, z_to, {_spread} from changes group by all", *_SPREAD))
+def layer_spread(s, d):
+    return C.layer_spread(C.area_change(_areas(s, d, SUPPLIER)))
+
+
+@query(_change("abs_frac_change", f"select method, z_from, z_to, {_spread} from changes group by all", *_SPREAD))
+def compare_layer_change(s, d):
+    return C.compare_layer_change(C.area_change(_areas(s, d, SUPPLIER)))
+
+
+@query(_change("abs_frac_change", "select 1.2 / 10000 as lo, 1.2 as hi from changes having count(*) > 0", "lo hi", ""))
+def change_axis_without_changes(s, d):
+    return C.log_axis(C.area_change(_areas(s, d, SUPPLIER)).where("abs_frac_change = 0"))
+
+
+_axis = "(select least(greatest(pow(10.0, floor(log10(least))), top / 10000), top / 10, 0.1) as lo, top as hi from (select greatest(max(abs_frac_change), 1.2) as top, min(abs_frac_change) filter (where abs_frac_change > 0) as least from changes) e)"
+
+
+@query(_change("abs_frac_change", f"select method, cast(least(floor(60 * log10(greatest(abs_frac_change, lo) / lo) / log10(hi / lo)), 59) as bigint) as bin, count(*) as n from changes, {_axis} x group by all", "", "n"))
+def change_histogram(s, d):
+    return C.change_histogram(C.area_change(_areas(s, d, SUPPLIER)))
+
+
 def _size(where: str) -> str:
     inner = f"select *, z - lag(z) over w as z_gap, lag(area) over w as previous from areas window w as (partition by {K}, label order by z)"
     return Q.query([Q.vox(MIXED), Q.AREAS], f"select *, area - previous as delta, 100.0 * (area - previous) / previous as pct_change from ({inner}) s where {where}", "pct_change", "z area z_gap previous delta")
@@ -472,6 +532,21 @@ def rank_biserial(s, d):
     return I.rank_biserial(I.paired(_scores(s, d), "F", "O", CARD))
 
 
+_ranked = Q.stage("ranked", "select *, rank() over (partition by metric order by abs(diff)) + (count(*) over (partition by metric, abs(diff)) - 1) / 2.0 as r from pairs where diff <> 0")
+_exact = [
+    *PAIRS, _ranked,
+    Q.stage("hl", "select a.metric, median((a.diff + b.diff) / 2) as hl_shift from pairs a join pairs b on a.metric = b.metric and (a.region, a.fov) <= (b.region, b.fov) group by a.metric"),
+    Q.stage("rb", "select metric, (sum(case when diff > 0 then r else 0 end) - sum(case when diff < 0 then r else 0 end)) / sum(r) as rank_biserial from ranked group by metric"),
+    Q.stage("med", "select metric, count(*) as n_pairs, median(x) as median_a, median(y) as median_b, median(diff) as median_diff from pairs group by metric"),
+]
+
+
+@query(Q.query(_exact, "select m.*, hl_shift, rank_biserial, case when median_diff > 0 then 'O' when median_diff < 0 then 'F' else '' end as better from med m left join hl using (metric) left join rb using (metric)", "median_a median_b median_diff hl_shift rank_biserial", "n_pairs"))
+def compare_techniques_exact(s, d):
+    """All of the comparison that is not resampled; all lines of the card are better when they are higher."""
+    return I.compare_techniques(_scores(s, d), "F", "O", CARD).drop("ci_lo", "ci_hi", "p_wilcoxon")
+
+
 @query()
 def compare_techniques(s, d):
     return I.compare_techniques(_scores(s, d), "F", "O", CARD)
@@ -516,6 +591,16 @@ def thin_rate_centroids(s, d):
     return Z.centroids(Z.thin_rate(_spans(s, d, MIXED)))
 
 
+@query(Q.query([Q.vox(MIXED), Q.AREAS, Q.spans(), _rates], "select avg(n_masks) filter (where method = 'O') - avg(n_masks) filter (where method = 'F') as d_yield, avg(thin_rate) filter (where method = 'O') - avg(thin_rate) filter (where method = 'F') as d_thin_rate from rates", "d_yield d_thin_rate"))
+def centroid_shift(s, d):
+    return Z.centroid_shift(Z.thin_rate(_spans(s, d, MIXED)), "F", "O")
+
+
+@query(Q.query([Q.vox(MIXED), Q.AREAS, Q.spans()], "select concat_ws('/', region, method) as variant, count(*) as n_labels, 100.0 * avg((z_span > 1)::int) as pct_multi_layer, avg(z_span) as mean_z_span, max(z_span) as max_z_span, count(*) filter (where has_z_gap) as n_with_z_gaps from spans group by all", "pct_multi_layer mean_z_span", "n_labels max_z_span n_with_z_gaps"))
+def variant_summary(s, d):
+    return Z.variant_summary(_spans(s, d, MIXED), ("region", "method"))
+
+
 @query(Q.query([Q.vox(MIXED), Q.AREAS, Q.spans()], "select region, method, count(distinct fov) as n_fovs from spans group by all", "", "n_fovs"))
 def coverage(s, d):
     return Z.coverage(_spans(s, d, MIXED))

@@ -19,6 +19,16 @@ def test_signed_rank_exact():
     assert 0 < I.signed_rank_p(np.array([1.0, 1.0, -1.0, 2.0, 0.0])) <= 1
 
 
+def test_walsh_median():
+    """Against all pairs, with ties, and on more values than pairs are sorted at once."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 7, 50, 301):
+        for d in (rng.normal(size=n), rng.integers(0, 3, n).astype(float), np.zeros(n), rng.normal(size=n) * 10.0 ** rng.integers(-8, 8, n)):
+            i, j = np.triu_indices(n)
+            assert math.isclose(I.walsh_median(d), np.median((d[i] + d[j]) / 2), rel_tol=1e-9, abs_tol=1e-15)
+    assert I.walsh_median(np.zeros(0)) is None
+
+
 def test_bootstrap():
     assert I.bootstrap_interval(np.array([1.0])) == (None, None)
     assert I.bootstrap_interval(np.array([2.0, 2.0, 2.0])) == (2.0, 2.0)
