@@ -33,3 +33,49 @@ def test_pages_with_one_longest_block_are_no_copies(spark):
     notice = "<div class=legal>" + "a long notice of this site " * 9 + "</div>"
     assert extract(spark, [f"<body>{notice}<p>text {k}</p>" for k in range(12)]) == [f"text {k}" for k in range(12)]
     assert all("notice" in t for t in extract(spark, [f"<body>{notice}<p>text</p>"] * 12))
+
+
+def test_importance_by_brute_force(spark):
+    """What the most common content tells and the entropy of the presentation, path by path."""
+    import math
+    from collections import Counter
+
+    import pytest
+
+    html = [f"<body><nav><a>Home</a></nav><div class=t><b>{k % 4 and 'same' or k}</b>{'<i>x</i>' * (k % 3)}</div><p>text {k}</p></body>" for k in range(20)]
+    want: dict = {}
+    for h in html:
+        blocks, styles = pages.parse(h)
+        for path, content in pages.contents(blocks).items():
+            one = want.setdefault(path, (Counter(), Counter()))
+            one[0][content] += 1
+            one[1][" ".join(styles[path])] += 1
+    got = {r.path: r for r in pages.style_tree(spark.createDataFrame([("h", h) for h in html], "host string, html string")).collect()}
+    assert set(got) == set(want) and len(got) == 4
+    for path, (content, style) in want.items():
+        n = content.total()
+        entropy = -sum(c / n * math.log2(c / n) for c in style.values())
+        assert got[path].pages == n and content[got[path].content] == max(content.values())
+        assert got[path].importance == pytest.approx(-0.9 * math.log2(max(content.values()) / n) + 0.1 * entropy)
+
+
+def test_the_tree_alone_removes_what_all_pages_share(spark):
+    """Without names, roles and classes: menu, notice and footer go; so they do when the tree is not broadcast."""
+    page = "<body><div class=x1><a>Home</a><a>About</a></div><div class=x2>We use cookies</div><h1>Title {0}</h1><p>text {0}</p><div class=x3>All rights</div></body>"
+    rows = [(k, "http://a.example/", page.format(k)) for k in range(20)] + [(50, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (10**6, 0):
+        got = {r.page_id: r.text for r in pages.extract(table, lists=False, broadcast=most).collect()}
+        assert got == {k: f"Title {k}\ntext {k}" for k in range(20)} | {50: ""}
+    assert "cookies" in pages.main_text(rows[0][2], lists=False)
+
+
+def test_deep_pages_take_little_memory():
+    """Memory grows with the page, not with its depth times its length."""
+    import tracemalloc
+
+    for html in ("<div class=aaaa>" * 100_000 + "x", "<font>" * 50_000 + "<p>a</i>" * 20_000, "<b><i>" * 50_000 + "</u>" * 50_000 + "x"):
+        tracemalloc.start()
+        text = pages.main_text(html)
+        assert text and tracemalloc.get_traced_memory()[1] < 200e6
+        tracemalloc.stop()
