@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -13,12 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the labelled sample: texts of a language, characters of each, and letters learned from all of them.
-ROWS_PER_LANG, CHARS_PER_ROW, CHARS_PER_LANG = 80, 3_000, 40_000
-#: Bounds of a worker's tables: distinct letters told apart, and cells over all languages.
-LETTERS, CELLS = 250, 24_000_000
-#: A text is parsed in blocks of so many letters; a phrase ends with its block at the latest.
-BLOCK = 256
+#: Bounds of the labelled sample: whole texts of a language, and characters of all of them together.
+ROWS_PER_LANG, CHARS_PER_LANG = 80, 60_000
+#: Texts that are parsed side by side, and how many states must advance together to be worth a step in numpy.
+SIDE, FEW = 2000, 60
 GAP = 0
 
 UNDETERMINED = "und"
@@ -30,46 +28,58 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Sample text of every language: at most ``ROWS_PER_LANG`` distinct texts, ``CHARS_PER_ROW`` characters of each.
+    """Sample text of every language: at most ``ROWS_PER_LANG`` distinct texts with ``CHARS_PER_LANG`` characters together.
 
-    Rows that are held out, or lack id, text or label, are not used.  Which texts are taken follows from
-    a hash of the text, so the sample is the same in any run; copies count once.
+    Texts are taken whole, in the order of a hash of the text, those over a quarter of the bound last and by length;
+    a language of which no text fits has its shortest one.  Rows that are held out, or lack id, text or label, are not
+    used.  Copies count once, and the sample is the same in any run.
+
+    Hashes below a share that follows from the number of a language's texts are looked at only, so a few hundred
+    texts of each language are shuffled.  The sample goes to the driver; it grows with the languages alone.
     """
     rows = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("body"))
     rows = rows.withColumn("h", F.xxhash64("body"))
-    ranked = rows.groupBy("lang", "h").agg(F.count("*").alias("n")).selectExpr("lang", "h", "row_number() over (partition by lang order by h) as r")
-    taken = ranked.where(F.col("r") <= ROWS_PER_LANG).select("lang", "h")
-    texts = rows.join(taken, ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("body", 1, CHARS_PER_ROW)).alias("body"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).collect()  # a row for each language
+    if not sizes:
+        return {}
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, 6 * ROWS_PER_LANG / max(1, r.texts)))))
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    texts = near.groupBy("lang", "h").agg(F.min("body").alias("body")).withColumn("n", F.char_length("body"))
+    order = f"partition by lang order by greatest(n, {CHARS_PER_LANG // 4}), h"
+    taken = texts.selectExpr("lang", "body", "h", f"row_number() over ({order}) as r", f"sum(n) over ({order} rows unbounded preceding) as upto")
+    taken = taken.where((F.col("r") == 1) | ((F.col("r") <= ROWS_PER_LANG) & (F.col("upto") <= CHARS_PER_LANG)))
     out: dict[str, list[str]] = {}
-    for lang, _, body in sorted(tuple(r) for r in texts.collect()):
-        out.setdefault(lang, []).append(body)
+    for r in sorted(taken.select("lang", "r", "body").collect()):
+        out.setdefault(r.lang, []).append(r.body)
     return {lang: "\n".join(parts) for lang, parts in out.items()}
 
 
 @cache
-def _folded() -> np.ndarray:
-    """For each code point, the lower-case letter that stands for it; GAP for what is no letter."""
-    table = np.zeros(0x110000, np.uint32)
-    for c in range(0x32400):  # no letters are assigned beyond
+def _folded() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point, what stands for it: the lower-case letter, a combining mark itself, else GAP; and which are letters."""
+    table, letter = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+    for c in (*range(0x32400), *range(0xE0100, 0xE01F0)):  # no letters or marks are assigned elsewhere
         x = chr(c)
         if x.isalpha():
             table[c] = ord(x.lower()[0])
-    return table
+            letter[c] = True
+        elif unicodedata.category(x)[0] == "M":
+            table[c] = c
+    return table, letter
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-case letters of a text as code points; each stretch of anything else becomes one GAP; one at either end."""
-    x = _folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    if len(x):
-        keep = x != GAP
-        keep[1:] |= x[:-1] != GAP
-        x = x[keep]
-    if len(x) == 1 and x[0] == GAP:
-        return x[:0]
-    if len(x):
-        x = np.pad(x, (int(x[0] != GAP), int(x[-1] != GAP)), constant_values=GAP)
-    return x
+    """Lower-case letters, with their marks, as code points; each stretch of anything else becomes one GAP; one at either end."""
+    table, letter = _folded()
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if not letter[raw].any():
+        return np.zeros(0, np.uint32)
+    x = table[raw]
+    keep = x != GAP
+    keep[1:] |= x[:-1] != GAP
+    x = x[keep]
+    return np.pad(x, (int(x[0] != GAP), int(x[-1] != GAP)), constant_values=GAP)
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -106,78 +116,84 @@ class Parser:
     """Counts, for many texts at once, the phrases that each language needs.
 
     A phrase is the longest match, from where the last one ended, with any substring of the language's sample;
-    a letter that no sample has is a phrase of its own.  All automata lie in one table of integers: the cell of
-    a state and a letter has the next state, or, where there is none, the complement of the state that a new
-    phrase begins with.  Blocks of all texts advance side by side, a letter at a time.
+    a letter that no sample has is a phrase of its own.  The automata of all languages lie in one sparse table: state s
+    has a transition by letter c if ``owner`` is s at place ``base[s] + c``, and ``to`` is then the next state, so
+    neither the number of letters nor that of languages multiplies the states.  Texts advance side by side, a letter
+    at a time; when few are left, they go on one by one.
     """
 
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         texts = {lang: letters(text) for lang, text in samples}
         self.langs = sorted(lang for lang, x in texts.items() if len(x))
-        seen: Counter[int] = Counter()
-        for x in texts.values():
-            seen.update(x.tolist())
-        known = sorted(sorted(c for c in seen if c != GAP), key=lambda c: -seen[c])[:LETTERS]
-        # 0: gap; then the known letters; all other letters share one symbol; the last is padding
-        self.code = np.full(0x110000, len(known) + 1, np.int32)
-        self.code[GAP] = 0
-        self.code[known] = np.arange(1, len(known) + 1, dtype=np.int32)
-        self.pad, width = len(known) + 2, len(known) + 3
-        most = min(CHARS_PER_LANG, CELLS // max(1, 2 * width * len(self.langs)))
-        tables, self.roots, self.weights, base = [], [], [], 0
-        for lang in self.langs:
-            x = self.code[texts[lang][:most]]
-            x = np.where(x == len(known) + 1, 0, x)
-            move = suffix_automaton(x.tolist())
-            root = base * width
-            # one state more: after a letter that no sample has, whatever comes begins a phrase
-            lone = (base + len(move)) * width
-            begin = np.full(width, lone, np.int64)
-            for c, q in move[0].items():
-                begin[c] = (base + q) * width
-            table = np.tile(~begin, (len(move) + 1, 1))
-            table[0] = begin  # a block's first phrase is counted beforehand
-            for p, ways in enumerate(move):
-                for c, q in ways.items():
-                    table[p, c] = (base + q) * width
-            table[:, self.pad] = root
-            tables.append(table.astype(np.int32).ravel())
-            self.roots.append(root)
-            self.weights.append(math.log2(len(x) + 1))
-            base += len(move) + 1
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        known = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts.values()]))
+        # 0 is the gap, the last one any letter that no sample has
+        self.code = np.full(0x110000, len(known), np.int32)
+        self.code[known] = np.arange(len(known), dtype=np.int32)
+        width = len(known) + 1
+        moves: list[dict[int, int]] = [{}]  # state 0 follows a letter that the sample lacks: all else begins a phrase
+        self.begin = np.zeros((width, len(self.langs)), np.int32)
+        self.weights = np.zeros(len(self.langs))
+        for k, lang in enumerate(self.langs):
+            own = suffix_automaton(self.code[texts[lang]].tolist())
+            first = len(moves)
+            for c, q in own[0].items():
+                self.begin[c, k] = first + q
+            moves += [{c: first + q for c, q in ways.items()} for ways in own]
+            self.weights[k] = math.log2(len(texts[lang]) + 1)
+        self.base, self.owner, self.to = _packed(moves, width)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Rows of texts, columns of languages: the number of phrases."""
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
-        counts = np.array([-(-len(x) // BLOCK) for x in texts], np.int64)
-        total = int(counts.sum())
-        if not total or not self.langs:
-            return out
-        flat = np.full(total * BLOCK, self.pad, np.int32)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        for x, at in zip(texts, first[:-1].tolist(), strict=True):
-            flat[at * BLOCK : at * BLOCK + len(x)] = self.code[x]
-        owner = np.repeat(np.arange(len(texts)), counts)
-        for lo in range(0, total, 8192):  # so many side by side stay in the processor's cache
-            steps = np.ascontiguousarray(flat[lo * BLOCK : (lo + 8192) * BLOCK].reshape(-1, BLOCK).T)
-            used = int((steps != self.pad).any(axis=1).sum())
-            for k, root in enumerate(self.roots):
-                state = np.full(steps.shape[1], root, np.int32)
-                broken = np.ones(steps.shape[1], np.int32)
-                for symbol in steps[:used]:
-                    state += symbol
-                    cell = self.table.take(state)
-                    miss = cell >> 31
-                    broken -= miss
-                    state = cell ^ miss
-                np.add.at(out[:, k], owner[lo : lo + 8192], broken)
+        n = len(self.langs)
+        order = np.argsort([-len(x) for x in texts], kind="stable")
+        lengths = np.array([len(texts[i]) for i in order], np.int64)
+        found = np.zeros((len(texts), n), np.int64)
+        if not n or not len(texts) or not lengths[0]:
+            return found
+        flat = self.code[np.concatenate([texts[i] for i in order])]
+        at = np.cumsum(lengths) - lengths
+        active = int((lengths > 0).sum())
+        state = self.begin[flat[at[:active]]]
+        found[:active] = 1
+        step = 1
+        while True:
+            while active and lengths[active - 1] <= step:
+                active -= 1
+            if active * n < FEW:
+                break
+            symbol = flat[at[:active] + step]
+            now = state[:active]
+            place = self.base.take(now) + symbol[:, None]
+            hit = self.owner.take(place) == now
+            found[:active] += ~hit
+            state[:active] = np.where(hit, self.to.take(place), self.begin.take(symbol, axis=0))
+            step += 1
+        for i in range(active):
+            rest = flat[at[i] + step : at[i] + lengths[i]].tolist()
+            for k in range(n):
+                found[i, k] += self._alone(rest, int(state[i, k]), k)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
+    def _alone(self, symbols: list[int], state: int, k: int) -> int:
+        """New phrases of one text, from here on, for the k-th language."""
+        base, owner, to = memoryview(self.base), memoryview(self.owner), memoryview(self.to)
+        begin = self.begin[:, k].tolist()
+        count = 0
+        for c in symbols:
+            place = base[state] + c
+            if owner[place] == state:
+                state = to[place]
+            else:
+                state = begin[c]
+                count += 1
+        return count
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score: one less the winner's normalised phrases over the runner-up's."""
         found = [letters(t or "") for t in texts]
-        needed = self.phrases(found) * np.array(self.weights)
+        needed = self.phrases(found) * self.weights
         langs, scores = [], []
         for x, row in zip(found, needed, strict=True):
             if not self.langs or not len(x):
@@ -191,6 +207,37 @@ class Parser:
         return langs, scores
 
 
+def _packed(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The transitions in one row: each state's letters are laid where all of their places are free."""
+    base = [0] * len(moves)
+    owner, to = [-1] * (2 * width), [0] * (2 * width)
+    low, high = width, width  # nothing is free below the one, nothing is taken from the other on
+    for s in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+        ways = moves[s]
+        if not ways:
+            break
+        while low < high and owner[low] >= 0:
+            low += 1
+        first, last = min(ways), max(ways)
+        spot = low
+        for _ in range(64):
+            if spot >= high or owner[spot] < 0 and (first == last or all(owner[spot - first + c] < 0 for c in ways)):
+                break
+            spot += 1
+        else:
+            spot = high
+        start = base[s] = spot - first
+        high = max(high, start + last + 1)
+        if high + width > len(owner):
+            more = len(owner)
+            owner += [-1] * more
+            to += [0] * more
+        for c, q in ways.items():
+            owner[start + c] = s
+            to[start + c] = q
+    return np.array(base, np.int32), np.array(owner[: high + width], np.int32), np.array(to[: high + width], np.int32)
+
+
 @cache
 def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     """One for each worker: only the sample text travels."""
@@ -212,8 +259,8 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(known)
         for part in parts:
-            for at in range(0, part.num_rows, 1000):
-                few = part.slice(at, 1000)
+            for at in range(0, part.num_rows, SIDE):
+                few = part.slice(at, SIDE)
                 langs, scores = p.predict(few.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 

@@ -99,19 +99,51 @@ def test_language(spark, sf_dir):
     assert language.language_id(frame(spark, [])).collect() == []
 
 
-def test_cross_parsing():
-    """Phrases are longest matches with the sample, one after another."""
-    sample = "abracadabra and other words of some language " * 3
-    parser = language.Parser((("xx", sample),))
-    x = language.letters("cadabra zz the words")
-    known = "".join(map(chr, language.letters(sample)))
-    text, count, at = "".join(map(chr, x)), 0, 0
+def plain_phrases(text, known):
+    count, at = 0, 0
     while at < len(text):
         end = at + 1
         while end < len(text) and text[at : end + 1] in known:
             end += 1
         count, at = count + 1, end
-    assert parser.phrases([x])[0, 0] == count
+    return count
+
+
+def test_cross_parsing(monkeypatch):
+    """Phrases are longest matches with the sample, one after another, in texts of any length, side by side or alone."""
+    import random
+
+    rng = random.Random(4)
+    samples = tuple((lang, "".join(rng.choice(abc) for _ in range(900))) for lang, abc in (("xx", "abcd  "), ("yy", "cdef "), ("zz", "अआकि ")))
+    texts = ["cadabra zz the words", "", "1", "q", "किका ab"] + ["".join(rng.choice("abcdefq -कि") for _ in range(rng.randrange(1500))) for _ in range(40)]
+    known = ["".join(map(chr, language.letters(s))) for _, s in samples]
+    for few in (0, 60, 10**9):
+        monkeypatch.setattr(language, "FEW", few or 1)
+        parser = language.Parser(samples)
+        x = [language.letters(t) for t in texts]
+        want = [[plain_phrases("".join(map(chr, y)), k) for k in known] for y in x]
+        assert parser.phrases(x).tolist() == want
+
+
+def test_many_languages_and_letters(spark):
+    """Fifty labels, one with three thousand letters; long texts of one label; every sampled text is whole."""
+    import random
+
+    rng = random.Random(7)
+    words = {}
+    for k in range(49):
+        abc = rng.sample("abcdefghijklmnopqrstuvwxyz", 12)
+        words[f"l{k}"] = ["".join(rng.choice(abc) for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    words["han"] = ["".join(chr(rng.randrange(0x4E00, 0x4E00 + 3000)) for _ in range(2)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words[lang], k=40)), lang) for i, lang in enumerate(sorted(words) * 16)]
+    rows += [(5000 + i, "".join(rng.choices(["ab ", "ba "], k=70_000 + i)), "long") for i in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.learn(table)
+    by_lang = {lang: {t for _, t, other in rows if other == lang} for lang in [*words, "long"]}
+    assert set(samples) == set(by_lang)
+    assert all(set(s.split("\n")) <= by_lang[lang] for lang, s in samples.items())
+    got = language.language_id(table).where("held_out").join(table, "doc_id").select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got) > 100
 
 
 def test_contamination(spark):
