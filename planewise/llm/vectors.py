@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from planewise.llm.common import stored
 
 #: Bound of the sample that the model is fitted on, and of the queries that calibrate it.
-SAMPLE, PROBE_QUERIES = 20_000, 200
+SAMPLE, PROBE_QUERIES = 40_000, 200
 #: Recall that the probed lists reach on the sample.
 TARGET = 0.97
-MAX_LISTS, PARTS, CODES = 2048, 16, 256
+#: Sampled vectors that a list needs; parts of a residual, and codes of each.
+PER_LIST, PARTS, CODES = 8, 16, 256
 #: Candidates that are scored exactly for each query in each group; members of a list's unit, and of a group.
 RERANK, UNIT, GROUP = 100, 2048, 4096
 
@@ -65,7 +66,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def fit(sample: np.ndarray, total: int, k: int) -> Model:
     """Fit on a bounded sample: about the square root of ``total`` lists, as many probes as reach ``TARGET`` there."""
-    lists = int(min(MAX_LISTS, max(1, round(total**0.5)), max(1, len(sample) // 8)))
+    lists = int(min(max(1, round(total**0.5)), max(1, len(sample) // PER_LIST)))
     centres = _kmeans(sample, lists)
     near = _nearest(sample, centres)
     cuts = tuple(np.cumsum([len(p) for p in np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))])[:-1].tolist())
@@ -92,6 +93,19 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where("id is not null and vec is not null").where(F.coalesce(sound, F.lit(False)))
 
 
+def _once(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` without those that no query can be given: of a vector with over ``UNIT`` rows, all but the ``k`` + 1 smallest ids.
+
+    All of its rows are equally near to any query, and ties go to the smaller id.  There are fewer such vectors than one
+    for every ``UNIT`` rows, so their hashes are broadcast, and nothing else is shuffled.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("vec"))
+    often = F.broadcast(hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > UNIT).select("h"))
+    crowd = hashed.join(often, "h", "left_semi").select("id", "vec").distinct()
+    crowd = crowd.selectExpr("id", "vec", "row_number() over (partition by vec order by id) as r").where(F.col("r") <= k + 1)
+    return hashed.join(often, "h", "left_anti").select("id", "vec").unionByName(crowd.select("id", "vec"))
+
+
 def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For every row whose id is divisible by ``every``, the ``k`` rows with the largest inner product that were found.
 
@@ -99,12 +113,14 @@ def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id",
     double precision; ties go to the smaller id.  All rows but the query's own id are indexed: each lies in the
     list of its nearest centroid, as product-quantised residual.  A query visits the lists nearest to it, at
     least enough to hold ``k`` others; asymmetric distance tables rank a list's members, and the best are scored
-    exactly.  Lists are cut into units of bounded size and these dealt to groups, so a crowded list, such as that
-    of a vector given very often, is searched by many tasks.
-
-    The model is fitted on at most ``SAMPLE`` vectors, picked by a hash of the id.  Vectors that are null, zero,
-    or hold null or non-finite components take no part, nor do rows without an id or vectors of another length
-    than most.  Rows that repeat an id are separate candidates and one query; the smallest vector asks.
+    exactly.  Lists are cut into units of bounded size and these dealt to groups, so a crowded list is searched by
+    many tasks; of a vector given very often, only the smallest ids are indexed, as no other can be an answer.
+
+    The model is fitted on at most ``SAMPLE`` vectors, picked by a hash.  Lists are about the square root of the rows, at
+    most one for every ``PER_LIST`` sampled vectors; beyond that, lists get longer and a query's work grows with
+    the rows, until ``SAMPLE`` is raised.  Vectors that are null, zero, or hold null or non-finite components take no
+    part, nor do rows without an id or vectors of another length than most.  Rows that repeat an id are separate
+    candidates, unless the whole row repeats, and one query; the smallest vector asks.
     """
     rows = usable(vectors, id_col, vec_col)
     sizes = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -113,7 +129,9 @@ def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id",
         return rows.sparkSession.createDataFrame([], kind)
     dims, total = sizes[0]["d"], sizes[0]["n"]
     rows = rows.where(F.size("vec") == dims)
-    picked = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
+    share = int(min(1.0, 1.3 * SAMPLE / total) * (1 << 30))
+    few = rows.withColumn("h", F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30))).where(F.col("h") < share)
+    picked = few.orderBy("h", "id", "vec").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
     model = fit(_matrix(picked), total, k)
 
     def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +142,16 @@ def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id",
             columns = [part.column(0), part.column(1), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "vec", "list", "code"])
 
-    index = stored(rows.mapInArrow(assign, "id long, vec array<double>, list int, code binary"))
+    index = stored(_once(rows, k).mapInArrow(assign, "id long, vec array<double>, list int, code binary"))
     counts = np.zeros(len(model.centroids), np.int64)
     for r in index.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
         counts[r["list"]] = r["n"]
-    groups = max(1, -(-total // GROUP))
+    groups = max(1, -(-int(counts.sum()) // GROUP))
     units = np.maximum(1, -(-counts // UNIT))
-    reach = np.zeros((len(counts), groups), np.float32)
-    for li, n in enumerate(units.tolist()):
-        reach[li, (li * 7919 + np.arange(min(n, groups))) % groups] = 1
+    # the groups that hold list i are those from ends[i - 1] to ends[i] in ``held_by``
+    spread = np.minimum(units, groups)
+    ends = np.cumsum(spread)
+    held_by = ((np.repeat(np.arange(len(units)) * 7919, spread) + np.arange(ends[-1]) - np.repeat(ends - spread, spread)) % groups).astype(np.int32)
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -143,12 +162,13 @@ def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id",
             enough = np.maximum(model.probes, (held < 4 * k).sum(axis=1) + 1)
             visits = np.zeros(order.shape, bool)
             np.put_along_axis(visits, order, np.arange(order.shape[1])[None, :] < enough[:, None], axis=1)
-            q, g = np.nonzero(visits.astype(np.float32) @ reach)
+            each = [np.unique(np.concatenate([held_by[ends[i] - spread[i] : ends[i]] for i in np.flatnonzero(v)])) for v in visits]
+            q, g = np.repeat(np.arange(len(each)), [len(e) for e in each]), np.concatenate([np.zeros(0, np.int32), *each])
             masks = np.packbits(visits, axis=1)
             columns = [pa.array(g.astype(np.int32)), part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q)), pa.array([masks[i].tobytes() for i in q], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["g", "id", "vec", "visits"])
 
-    queries = index.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     asked = queries.mapInArrow(ask, "g int, id long, vec array<double>, visits binary")
     table = rows.sparkSession.createDataFrame([(i, int(u)) for i, u in enumerate(units.tolist())], "list int, units long")
     index = index.join(table, "list")

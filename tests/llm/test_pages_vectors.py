@@ -80,3 +80,20 @@ def test_odd_vectors(spark):
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"]) for r in vectors.nearest(few, 20).orderBy("rank").collect()] == [(0, 1), (0, 2)]
     assert vectors.nearest(few.limit(0), 20).collect() == []
+
+
+def test_vectors_given_very_often(spark, monkeypatch):
+    """Beyond the bound, only the smallest ids of a vector are indexed; the answers are those of all rows."""
+    monkeypatch.setattr(vectors, "UNIT", 30)
+    monkeypatch.setattr(vectors, "GROUP", 50)
+    rng = np.random.default_rng(9)
+    often = rng.normal(size=64).tolist()
+    rows = [(int(i), rng.normal(size=64).tolist()) for i in range(40)] + [(100 + i, often) for i in range(200)] + [(101, often)] * 40
+    want = brute(rows[:240], 20, 20)
+    table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, list int, code string")
+    got: dict = {}
+    for r in vectors.nearest(table, 20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == set(want)
+    for q in (i for i in want if i >= 100):
+        assert [j for _, j in sorted(got[q])] == [j for _, j in want[q]]
