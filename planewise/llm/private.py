@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from planewise.llm.common import checkpoint
 
-#: The secret that surrogates depend on.  Set your own in production.
-KEY = "surrogate-key"
-
 # Alphabets that a character keeps to.
 LETTERS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŸŒ"]
 SCRIPTS = ["".join(map(chr, range(a, b))) for a, b in ((0x430, 0x450), (0x410, 0x430), (0x3B1, 0x3CA), (0x391, 0x3A2), (0x5D0, 0x5EB), (0x627, 0x63B), (0x3042, 0x3094), (0x30A2, 0x30F4))]
@@ -40,10 +37,14 @@ _PHONE = r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\)[ .\-]?[0-9]{2,
 _NUMBER = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _CAPITAL = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _KNOWN = "|".join(n for names in GIVEN for n in names)
-_NAME = rf"\b(?=[\p{{Lu}}г])(?:(?:{TITLES})\.? (?:{_CAPITAL} ){{0,2}}{_CAPITAL}|(?:{_KNOWN}) (?:{_CAPITAL} )?{_CAPITAL})"
+# What introduces a name.
+CUES = "[Mm]y name is|[Nn]ame:|[Ss]igned by|[Ss]igned:|[Rr]egards,|[Ss]incerely,|[Cc]ontact:|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут"
+_NAME = rf"\b(?=[\p{{Lu}}г])(?:(?:{TITLES})\.? (?:{_CAPITAL} ){{0,2}}{_CAPITAL}|(?:{_KNOWN}) (?:{_CAPITAL} )?{_CAPITAL}|(?<=(?:{CUES})[ \n]){_CAPITAL}(?: {_CAPITAL}){{1,2}})"
+#: Mailboxes of two words, and the words of a name.
+_MAIL_NAME, _NAME_WORD = r"^\p{Ll}{2,}[._\-]\p{Ll}{2,}@", r"^\p{Lu}[\p{L}\-]+$"
 ENTITY = "|".join(f"(?:{p})" for p in (_SECRET, _EMAIL, _IBAN, _IP, _CARD, _PHONE, _NUMBER, _NAME))
 #: Texts without any of these have no entity; they are far cheaper to look for.
-HINTS = ("[0-9@=]", rf"\b(?=[\p{{Lu}}г])(?:{TITLES}|{_KNOWN})\.? \p{{Lu}}", r"(?i)(?:key|token|secret|password|passwd)\s{0,3}:|[a-f]{32}")
+HINTS = ("[0-9@=]", rf"\b(?=[\p{{Lu}}г])(?:{TITLES}|{_KNOWN})\.? \p{{Lu}}", rf"(?:{CUES})[ \n]\p{{Lu}}", r"(?i)(?:key|token|secret|password|passwd)\s{0,3}:|[a-f]{32}")
 
 
 def _quoted(text: str) -> str:
@@ -153,11 +154,21 @@ def _longer(key: str, k: int) -> str:
     return _let(_surrogate(f"{key}/longer{k}"), "a", f"case {cases} else {name} end")
 
 
-def replace_private(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 20) -> DataFrame:
+def _close(found: str) -> str:
+    """SQL for the words by which a document may speak of its people again: those of the names and mailboxes ``found`` in it."""
+    names = f"filter({found}, m -> regexp_like(m, {_quoted('^(?:' + _NAME.replace(f'(?<=(?:{CUES})[ {chr(92)}n])', '') + ')$')}))"
+    words = f"filter(flatten(transform({names}, m -> split(m, ' '))), w -> regexp_like(w, {_quoted(_NAME_WORD)}) and not regexp_like(w, '^(?:{TITLES})$'))"
+    mails = f"filter({found}, m -> regexp_like(m, {_quoted(_MAIL_NAME)}))"
+    return f"array_distinct(concat({words}, flatten(transform({mails}, m -> transform(split(substring_index(m, '@', 1), '[._-]'), w -> initcap(w))))))"
+
+
+def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 20) -> DataFrame:
     """Replace personal data by surrogates: ``doc_id``, ``text`` and ``n_entities`` of every row.
 
     Found are e-mail, IPv4 and bank account addresses, payment cards, phone and national numbers, secrets, and names
-    after a title or a known given name.  A surrogate follows from the key and the entity alone, so
+    after a title, a known given name or words that introduce one; then, within the same text, every mention of a word of
+    these names or of a mailbox of two words, so that a person named in full is not left in clear by surname later on.
+    Names without any of these signs are not found.  ``key`` is a secret of the caller's.  A surrogate follows from the key and the entity alone, so
     mentions of one entity stay mentions of one, in all documents; the map is one-to-one, so different
     entities stay different.  It keeps the format: separators, lengths, scripts and case, check digits, the number
     of digits of an octet, country codes, top-level domains, titles, and the gender of known given names.
@@ -172,7 +183,12 @@ def replace_private(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", tex
     pattern = F.lit(ENTITY)
     hinted = F.coalesce(reduce(or_, (F.col("body").rlike(h) for h in HINTS)), F.lit(False))
     found = F.when(hinted, F.regexp_extract_all("body", pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("found", found)
+    rows = rows.withColumn("found", found).withColumn("close", F.expr(_close("found")))
+    # in texts that name people, the words of the names are entities as well
+    word = F.concat(F.lit("(?:"), F.array_join("close", "|"), F.lit(")"))
+    wider = F.concat(F.lit(ENTITY + "|\\b"), word, F.lit("(?: "), word, F.lit(")*\\b"))
+    named = F.size("close") > 0
+    rows = rows.withColumn("found", F.when(named, F.regexp_extract_all("body", wider, F.lit(0))).otherwise(F.col("found")))
     surrogate = _surrogate(key)
     entities = rows.select(F.explode("found").alias("m")).distinct()
     entities = checkpoint(entities.selectExpr("m", f"{surrogate} as s"))
@@ -196,6 +212,6 @@ def replace_private(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", tex
         extra = own.distinct().join(walked, "m").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("m", "s"))).alias("extra"))
         rows = rows.withColumn("h", F.xxhash64("body")).join(extra, "h", "left")
         given = f"transform(found, m -> coalesce(extra[m], {surrogate}))"
-    between = F.split("body", ENTITY, -1)
+    between = F.when(named, F.split("body", wider, -1)).otherwise(F.split("body", F.lit(ENTITY), -1))
     text = F.array_join(F.zip_with(between, F.concat(F.expr(given), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return rows.select("doc_id", F.when(F.size("found") > 0, text).otherwise(F.col("body")).alias("text"), F.size("found").cast("long").alias("n_entities"))

@@ -10,6 +10,10 @@ from planewise.llm import language, lines, pages, phrases, pieces, private, simh
 from planewise.llm.common import read
 
 
+#: The key of the registered query, whose tables are invented; a user's own key is a secret.
+QUERY_KEY = "invented tables"
+
+
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private.replace_private(read(spark, sf_dir, "documents"))
+    return private.replace_private(read(spark, sf_dir, "documents"), QUERY_KEY)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

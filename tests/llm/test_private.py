@@ -10,9 +10,9 @@ NAMES = [f"Dr {a}{b}" for a, b in itertools.product("BCDFGHJKLMNPQRSTVWXYZ", "ae
 ADDRESSES = [".".join(x) for x in itertools.product("0123456789", repeat=4)]
 
 
-def replaced(spark, texts, **options):
+def replaced(spark, texts, key="k", **options):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.text for r in private.replace_private(rows, **options).orderBy("doc_id").collect()]
+    return [r.text for r in private.replace_private(rows, key, **options).orderBy("doc_id").collect()]
 
 
 def test_fixed_points_and_chains(spark):
@@ -36,3 +36,33 @@ def test_full_format(spark):
     got = replaced(spark, NAMES + mails, max_rounds=1)
     assert len(set(got)) == len(got) and not set(got) & set(NAMES + mails)
     assert all(s.startswith("Dr ") for s in got[:105]) and all(s.endswith(".com") for s in got[105:])
+
+
+def test_people_stay_the_same_and_covered(spark):
+    """Full names, introduced names and names behind a mailbox; later mentions by one word follow them, text by text."""
+    texts = [
+        "Then John Smith came. Later Smith left, and John said so; the Smithsonian stayed.",
+        "my name is Priya Raman and Raman is my surname.",
+        "Write to wei.zhang@mail.example.com: Wei Zhang will answer. Zhang is in.",
+        "A smith is no Smith here.",
+        "Dr Smith, or John Smith.",
+        "Regards,\nYusuf Demir",
+    ]
+    got = replaced(spark, texts)
+    hidden = [("John", "Smith "), ("Priya", "Raman"), ("Wei", "Zhang", "wei", "zhang"), (), ("Smith", "John"), ("Yusuf", "Demir")]
+    assert all(w not in g for g, words in zip(got, hidden, strict=True) for w in words)
+    first, last = got[0].split()[1:3]
+    assert got[0] == f"Then {first} {last.strip('.')} came. Later {last} left, and {first} said so; the Smithsonian stayed."
+    assert got[3] == texts[3]
+    assert got[4] == f"Dr {last}, or {first} {last}."
+    other = got[1].split()
+    assert other[3:5] == [other[3], other[6]] and other[3] != other[6]
+    people = [got[0].split()[1:3], got[1].split()[3:5], got[5].split()[1:3]]
+    assert len({tuple(p) for p in people}) == 3
+
+
+def test_a_key_is_asked_for(spark):
+    import pytest
+
+    with pytest.raises(TypeError):
+        private.replace_private(spark.createDataFrame([], "doc_id long, text string"))

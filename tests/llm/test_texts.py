@@ -171,7 +171,7 @@ def test_surrogates(spark, sf_dir):
         "nothing here 12 of 1.2.3 at all",
     ]
     rows = list(enumerate(texts)) + [(None, texts[0]), (0, texts[0])]
-    got = {r.doc_id: r for r in private.replace_private(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in private.replace_private(frame(spark, rows), "k").collect()}
     assert got[3].text is None and got[4].text == "" and got[5].text == texts[5]
     assert got[None].text == got[0].text and got[0].n_entities == 4
     mail = re.compile(r"\S+@\S+\.com")
@@ -182,7 +182,7 @@ def test_surrogates(spark, sf_dir):
     name = re.match(r"Frau (\S+) (\S+) met (\S+) (\S+); (\S+) (\S+) ", got[2].text)
     assert name[1] in female and name[1] != "Sabine" and name[3] in male and name[5] in cyrillic and name[5] != "Наталья"
     assert private.replace_private(frame(spark, rows[:1]), key="another").first().text != got[0].text
-    assert private.replace_private(frame(spark, [])).collect() == []
+    assert private.replace_private(frame(spark, []), "k").collect() == []
 
 
 def luhn(digits):
@@ -195,7 +195,7 @@ def test_surrogates_stay_distinct(spark):
     cards = [f"4{k:014d}" for k in range(30)]
     cards = [next(c + str(d) for d in range(10) if luhn(c + str(d)) == 0) for c in cards]
     rows = [(k, x) for k, x in enumerate(ips + cards)]
-    got = [r.text for r in private.replace_private(frame(spark, rows)).orderBy("doc_id").collect()]
+    got = [r.text for r in private.replace_private(frame(spark, rows), "k").orderBy("doc_id").collect()]
     assert len(set(got)) == len(rows) and not set(got) & set(ips + cards)
     assert all(luhn(c) == 0 for c in got[60:])
     assert all(re.fullmatch(r"\d{2}\.\d{1,2}\.\d\.\d", x) and all(int(o) < 256 for o in x.split(".")) for x in got[:60])
