@@ -47,12 +47,6 @@ def plane_number(path: F.Column) -> F.Column:
     return F.when(digits == "", F.lit(0)).otherwise(digits.cast("int"))
 
 
-def path_levels(path: F.Column, names: tuple[str, ...]) -> list[F.Column]:
-    """The directories above a file as columns, the innermost named last; unnamed ones are for the caller."""
-    parts = F.split(path, "/")
-    return [F.element_at(parts, -(len(names) - i) - 1).alias(n) for i, n in enumerate(names)]
-
-
 def variant(*levels: str, separator: str = "/") -> F.Column:
     """Levels joined to one column ``variant``."""
     return F.concat_ws(separator, *levels).alias("variant")

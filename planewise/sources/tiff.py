@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import lzma
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,32 +15,114 @@ from pyspark.sql import functions as F
 from planewise.sources.catalog import plane_number
 
 # Fixed values of the TIFF format: tags, and sizes and struct codes of field types.
-WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 339
+WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 317
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 322, 323, 324, 325, 339
 TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
 KINDS = {1: "u", 2: "i", 3: "f"}
 
 
-def planes(data: bytes) -> Iterator[np.ndarray]:
-    """The pages of an uncompressed, single-channel TIFF made of strips, in either byte order."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+def _unpack_bits(data: bytes) -> bytes:
+    """Runs of literal bytes and of repeated ones."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def _unpack_words(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, high bits first, of strings that the text so far has made: LZW."""
+    out = bytearray()
+    table = [bytes((i,)) for i in range(256)] + [b"", b""]
+    held, bits, width, last = 0, 0, 9, b""
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            del table[258:]
+            width, last = 9, b""
+            continue
+        if code > len(table) or code == len(table) and not last:
+            raise ValueError("broken LZW data")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        # codes grow one entry early
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
+def _unpack_zstd(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+#: Decoders by the format's compression number.
+DECODERS = {1: bytes, 5: _unpack_words, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bits, 34925: lzma.decompress, 50000: _unpack_zstd}
+
+
+def _directories(data: bytes, order: str) -> Iterator[dict[int, tuple]]:
+    """The tags of every page, of a file with offsets of 32 or 64 bits."""
+    version = struct.unpack_from(order + "H", data, 2)[0]
+    if version not in (42, 43):
         raise ValueError("not a TIFF file")
-    at = struct.unpack(order + "I", data[4:8])[0]
+    count, wide, entry, inline = ("H", "I", 12, 4) if version == 42 else ("Q", "Q", 20, 8)
+    (at,) = struct.unpack_from(order + wide, data, 4 if version == 42 else 8)
     while at:
-        (n,) = struct.unpack_from(order + "H", data, at)
+        (n,) = struct.unpack_from(order + count, data, at)
+        first = at + struct.calcsize(order + count)
         tags = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+            tag, kind, size = struct.unpack_from(order + "HH" + wide, data, first + entry * k)
             if kind in TYPES:
-                size = struct.calcsize(TYPES[kind]) * count
-                where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-                tags[tag] = struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, where)
-        if tags.get(COMPRESSION, (1,))[0] != 1 or tags.get(SAMPLES, (1,))[0] != 1 or OFFSETS not in tags:
-            raise ValueError("only uncompressed single-channel strips are supported")
-        kind = f"{order}{KINDS[tags.get(FORMAT, (1,))[0]]}{tags[BITS][0] // 8}"
-        strips = b"".join(data[o : o + c] for o, c in zip(tags[OFFSETS], tags[COUNTS], strict=True))
-        yield np.frombuffer(strips, kind).reshape(tags[HEIGHT][0], tags[WIDTH][0])
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+                where = first + entry * k + 4 + struct.calcsize(order + wide)
+                if struct.calcsize(TYPES[kind]) * size > inline:
+                    (where,) = struct.unpack_from(order + wide, data, where)
+                tags[tag] = struct.unpack_from(f"{order}{size}{TYPES[kind]}", data, where)
+        yield tags
+        (at,) = struct.unpack_from(order + wide, data, first + entry * n)
+
+
+def planes(data: bytes) -> Iterator[np.ndarray]:
+    """The pages of a single-channel TIFF: strips or tiles, plain or packed, in either byte order."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or len(data) < 8:
+        raise ValueError("not a TIFF file")
+    for tags in _directories(data, order):
+        decode, predictor = DECODERS.get(tags.get(COMPRESSION, (1,))[0]), tags.get(PREDICTOR, (1,))[0]
+        tiled = TILE_OFFSETS in tags
+        if decode is None or predictor not in (1, 2) or tags.get(SAMPLES, (1,))[0] != 1 or not (tiled or OFFSETS in tags) or tags[BITS][0] % 8:
+            raise ValueError("only single-channel pages of whole bytes, in a known compression, are supported")
+        height, width = tags[HEIGHT][0], tags[WIDTH][0]
+        kind = np.dtype(f"{order}{KINDS[tags.get(FORMAT, (1,))[0]]}{tags[BITS][0] // 8}")
+        if tiled:
+            across, down = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]
+        else:
+            across, down = width, min(height, tags.get(ROWS, (height,))[0])
+        page = np.empty((-(-height // down) * down, -(-width // across) * across), kind)
+        each = zip(tags[TILE_OFFSETS if tiled else OFFSETS], tags[TILE_COUNTS if tiled else COUNTS], strict=True)
+        for k, (offset, size) in enumerate(each):
+            row, column = divmod(k, page.shape[1] // across)
+            high = down if tiled else min(down, height - row * down)
+            part = np.frombuffer(decode(data[offset : offset + size]), kind, high * across).reshape(high, across)
+            if predictor == 2:  # each value is held as its step from the one before it
+                part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
+            page[row * down : row * down + high, column * across : (column + 1) * across] = part
+        yield page[:height, :width]
 
 
 def load_volumes(spark: SparkSession, path: str, value: str, single_plane: bool = False) -> DataFrame:
@@ -65,15 +149,28 @@ def load_volumes(spark: SparkSession, path: str, value: str, single_plane: bool
 
 def paired_voxels(labels: DataFrame, intensity: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Labels with the brightness beneath them; volumes of different shape are an error."""
-    on = [*keys, "z", "y", "x"]
-    both = labels.withColumn("_l", F.lit(True)).join(intensity.withColumn("_i", F.lit(True)), on, "full")
-    odd = both.where("_l is null or _i is null")
-    if not odd.isEmpty():
+    shape = [F.count("*"), *(f(c) for c in ("z", "y", "x") for f in (F.min, F.max))]
+    own, theirs = ({tuple(r) for r in v.groupBy(*keys).agg(*shape).collect()} for v in (labels, intensity))  # a row for each volume
+    if own != theirs:
         raise ValueError("labels and intensity differ in shape")
-    return both.drop("_l", "_i").withColumn("label", F.col("label").cast("long"))
+    return labels.join(intensity, [*keys, "z", "y", "x"]).withColumn("label", F.col("label").cast("long"))
+
+
+def load_fov(spark: SparkSession, masks_path: str, intensity_glob: str | None = None, name: str | None = None) -> DataFrame:
+    """One field's voxels, ``fov`` being the name given or that of the folder; with the brightness, where planes are given."""
+    labels = load_volumes(spark, masks_path, "label").drop("path").withColumn("label", F.col("label").cast("long"))
+    if intensity_glob is not None:
+        labels = paired_voxels(labels, load_volumes(spark, intensity_glob, "brightness", single_plane=True).drop("path"))
+    return labels.withColumn("fov", F.lit(name or masks_path.rstrip("/").split("/")[-2]))
 
 
-def write_tables(within: DataFrame, across: DataFrame, stem: str) -> None:
-    """Two tables as CSV with header, ``<stem>_within`` and ``<stem>_across``."""
+def write_tables(within: DataFrame, across: DataFrame, stem: str, mode: str = "error") -> None:
+    """Two tables as CSV with header, ``<stem>_within`` and ``<stem>_across``; what is there already is an error unless asked for."""
     for name, table in (("within", within), ("across", across)):
-        table.write.mode("overwrite").option("header", True).csv(f"{stem}_{name}")
+        table.write.mode(mode).option("header", True).csv(f"{stem}_{name}")
+
+
+def print_tables(within: DataFrame, across: DataFrame, rows: int = 100) -> None:
+    """The same two tables on the screen, the first rows of each."""
+    for table in (within, across):
+        table.show(rows, truncate=False)
