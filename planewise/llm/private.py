@@ -38,8 +38,9 @@ _NUMBER = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _CAPITAL = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _KNOWN = "|".join(n for names in GIVEN for n in names)
 # What introduces a name.
-CUES = "[Mm]y name is|[Nn]ame:|[Ss]igned by|[Ss]igned:|[Rr]egards,|[Ss]incerely,|[Cc]ontact:|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут"
-_NAME = rf"\b(?=[\p{{Lu}}г])(?:(?:{TITLES})\.? (?:{_CAPITAL} ){{0,2}}{_CAPITAL}|(?:{_KNOWN}) (?:{_CAPITAL} )?{_CAPITAL}|(?<=(?:{CUES})[ \n]){_CAPITAL}(?: {_CAPITAL}){{1,2}})"
+CUES = "y name is|ame:|igned:|egards,|incerely,|ontact:|n Name ist|ch heiße|m'appelle|e llamo|nombre es"
+_INTRODUCED = rf"(?<=[,:eost][ \n])(?<=(?:{CUES})[ \n])"
+_NAME = rf"\b(?=[\p{{Lu}}г])(?:(?:{TITLES})\.? (?:{_CAPITAL} ){{0,2}}{_CAPITAL}|(?:{_KNOWN}) (?:{_CAPITAL} )?{_CAPITAL}|{_INTRODUCED}{_CAPITAL}(?: {_CAPITAL}){{1,2}})"
 #: Mailboxes of two words, and the words of a name.
 _MAIL_NAME, _NAME_WORD = r"^\p{Ll}{2,}[._\-]\p{Ll}{2,}@", r"^\p{Lu}[\p{L}\-]+$"
 ENTITY = "|".join(f"(?:{p})" for p in (_SECRET, _EMAIL, _IBAN, _IP, _CARD, _PHONE, _NUMBER, _NAME))
@@ -156,7 +157,7 @@ def _longer(key: str, k: int) -> str:
 
 def _close(found: str) -> str:
     """SQL for the words by which a document may speak of its people again: those of the names and mailboxes ``found`` in it."""
-    names = f"filter({found}, m -> regexp_like(m, {_quoted('^(?:' + _NAME.replace(f'(?<=(?:{CUES})[ {chr(92)}n])', '') + ')$')}))"
+    names = f"filter({found}, m -> regexp_like(m, {_quoted('^(?:' + _NAME.replace(_INTRODUCED, '') + ')$')}))"
     words = f"filter(flatten(transform({names}, m -> split(m, ' '))), w -> regexp_like(w, {_quoted(_NAME_WORD)}) and not regexp_like(w, '^(?:{TITLES})$'))"
     mails = f"filter({found}, m -> regexp_like(m, {_quoted(_MAIL_NAME)}))"
     return f"array_distinct(concat({words}, flatten(transform({mails}, m -> transform(split(substring_index(m, '@', 1), '[._-]'), w -> initcap(w))))))"
@@ -180,17 +181,17 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     rows and null ids keep a row each; an empty table gives an empty result; further columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
-    pattern = F.lit(ENTITY)
     hinted = F.coalesce(reduce(or_, (F.col("body").rlike(h) for h in HINTS)), F.lit(False))
-    found = F.when(hinted, F.regexp_extract_all("body", pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("found", found).withColumn("close", F.expr(_close("found")))
-    # in texts that name people, the words of the names are entities as well
-    word = F.concat(F.lit("(?:"), F.array_join("close", "|"), F.lit(")"))
-    wider = F.concat(F.lit(ENTITY + "|\\b"), word, F.lit("(?: "), word, F.lit(")*\\b"))
-    named = F.size("close") > 0
-    rows = rows.withColumn("found", F.when(named, F.regexp_extract_all("body", wider, F.lit(0))).otherwise(F.col("found")))
+    # in texts that name people, the words of the names are entities as well; each text is searched once or twice
+    word = "concat('(?:', array_join(c, '|'), ')')"
+    wider = f"concat({_quoted(ENTITY + '|' + chr(92) + 'b')}, {word}, '(?: ', {word}, ')*', {_quoted(chr(92) + 'b')})"
+    again = f"struct(if(size(c) > 0, regexp_extract_all(body, {wider}, 0), f) as found, if(size(c) > 0, {wider}, {_quoted(ENTITY)}) as pattern)"
+    found = F.expr(_let(f"regexp_extract_all(body, {_quoted(ENTITY)}, 0)", "f", _let(_close("f"), "c", again)))
+    none = F.struct(F.array().cast("array<string>").alias("found"), F.lit(ENTITY).alias("pattern"))
+    rows = rows.withColumn("x", F.when(hinted, found).otherwise(none)).select("doc_id", "body", "x.found", "x.pattern")
     surrogate = _surrogate(key)
-    entities = rows.select(F.explode("found").alias("m")).distinct()
+    # an outer explode adds no filter that would search the texts once more
+    entities = rows.select(F.explode_outer("found").alias("m")).where("m is not null").distinct()
     entities = checkpoint(entities.selectExpr("m", f"{surrogate} as s"))
     taken = entities.select("m").unionByName(entities.select(F.col("s").alias("m"))).withColumnRenamed("m", "s")
     walked = None
@@ -212,6 +213,6 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
         extra = own.distinct().join(walked, "m").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("m", "s"))).alias("extra"))
         rows = rows.withColumn("h", F.xxhash64("body")).join(extra, "h", "left")
         given = f"transform(found, m -> coalesce(extra[m], {surrogate}))"
-    between = F.when(named, F.split("body", wider, -1)).otherwise(F.split("body", F.lit(ENTITY), -1))
+    between = F.expr("split(body, pattern, -1)")
     text = F.array_join(F.zip_with(between, F.concat(F.expr(given), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return rows.select("doc_id", F.when(F.size("found") > 0, text).otherwise(F.col("body")).alias("text"), F.size("found").cast("long").alias("n_entities"))
