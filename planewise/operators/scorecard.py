@@ -51,15 +51,11 @@ class Scan:
     def filters(self) -> DataFrame:
         return A.filter_report(self.spans, self.drop, self.drop_in, self.keys)
 
-    @cached_property
-    def kept_areas(self) -> DataFrame:
-        return self.areas.join(self.dropped, [*self.keys, "label"], "left_anti")
-
     @cached_property
     def masks(self) -> DataFrame:
-        """A row for each kept mask, measured and flagged."""
-        spans = A.thin_and_deep(A.span_table(self.kept_areas, self.keys))
-        return P.mask_table(spans, P.profiles(self.kept_areas, self.area_floor, self.sliver_frac, self.keys), JITTER_CUTOFF, SWAY_CUTOFF, self.keys)
+        """A row for each kept mask, measured and flagged.  The filter takes whole labels, so what is kept measures as before it."""
+        kept = self.spans.where((F.col("z_span") > 1) | ~F.coalesce(A.applies(self.drop_in, self.drop), F.lit(False)))
+        return P.mask_table(A.thin_and_deep(kept), P.profiles(self.areas, self.area_floor, self.sliver_frac, self.keys), JITTER_CUTOFF, SWAY_CUTOFF, self.keys)
 
     @cached_property
     def hist(self) -> DataFrame:
