@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planewise.llm.common import HEAVY, split_join
+
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
     """``id``, start ``at`` and a 128-bit hash ``h1``, ``h2`` of every window of ``width`` lines."""
@@ -24,7 +26,7 @@ def _keep(width: int) -> Column:
     )
 
 
-def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, heavy: int = HEAVY) -> DataFrame:
     """Remove every line covered by a window of ``width`` lines that has occurred before.
 
     Lines end at ``\\n``.  Two windows are the same if their lines are the same, character by character.  The
@@ -35,15 +37,19 @@ def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     A null text gives null and no lines; a text of fewer than ``width`` lines has no window and stays.  Rows
     that repeat an id are the same document to this rule, so a window is first in both or in neither.  A row
     without an id counts as earliest and is never cut.  An empty table gives an empty result.
+
+    The places of a window that occurs more than ``heavy`` times are dealt to many tasks.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.select("row", F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("body"))
     windows = _windows(rows, width)
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first"))
-    later = windows.where("id is not null").join(first.where("n > 1"), ["h1", "h2"])
+    later = split_join(windows.where("id is not null"), first.where("n > 1"), ["h1", "h2"], "n", heavy=heavy)
     later = later.where("not (id <=> first.id and at = first.at)")
     starts = later.groupBy(F.col("id").alias("cut")).agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    lines = rows.join(starts, rows["id"] == starts["cut"], "left").withColumn("lines", F.split("body", "\n", -1))
+    # rows without an id meet nothing here; a hash of the text keeps them from one task
+    own = F.struct(rows["id"].alias("id"), F.when(rows["id"].isNull(), F.xxhash64(rows["body"])).otherwise(0).alias("spread"))
+    lines = rows.join(starts, own == F.struct(starts["cut"].alias("id"), F.lit(0).cast("long").alias("spread")), "left").withColumn("lines", F.split("body", "\n", -1))
     lines = lines.withColumn("left", F.when(F.col("starts").isNull(), F.col("lines")).otherwise(_keep(width)))
     return lines.select(
         "row",

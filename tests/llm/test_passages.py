@@ -152,6 +152,19 @@ def test_lines(spark):
     same(lines.dedup_lines(frame(spark, rows)), cut_lines(rows))
 
 
+def test_lines_that_crowd(spark):
+    """Windows with more than two places are dealt to many tasks; rows without an id spread by their text."""
+    rows = random_rows(["one", "two", ""], "\n", 6) + [(100 + k, "a\nb\nc\nd\n" * 3) for k in range(30)]
+    frame_ = frame(spark, rows)
+    same(lines.dedup_lines(frame_), cut_lines(rows))
+    plan = lines.cut_lines(frame_, heavy=2)
+    got = {r.id: (r.kept, r.n_lines, r.n_removed) for r in plan.select("row.doc_id", "kept", "n_lines", "n_removed").withColumnRenamed("doc_id", "id").collect()}
+    want = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(frame_).collect()}
+    assert got == want
+    odd = frame(spark, [(None, "a\nb\nc"), (None, "a\nb\nc"), (None, None), (1, "a\nb\nc"), (2, "x\na\nb\nc")])
+    assert sorted(((r.doc_id, r.text) for r in lines.dedup_lines(odd).collect()), key=str) == sorted([(None, "a\nb\nc"), (None, "a\nb\nc"), (None, None), (1, ""), (2, "x")], key=str)
+
+
 @pytest.mark.parametrize("cut", [substrings.dedup_substrings, phrases.dedup_phrases, lines.dedup_lines])
 def test_empty(spark, cut):
     assert cut(frame(spark, [])).collect() == []
