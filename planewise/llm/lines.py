@@ -9,13 +9,13 @@ from planewise.llm.common import HEAVY, split_join
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """``id``, start ``at`` and a 128-bit hash ``h1``, ``h2`` of every window of ``width`` lines."""
-    lines = rows.where("body is not null").select("id", F.split("body", "\n", -1).alias("lines"))
+    """``id``, hash ``t`` of the text, start ``at`` and a 128-bit hash ``h1``, ``h2`` of every window of ``width`` lines."""
+    lines = rows.where("body is not null").select("id", "t", F.split("body", "\n", -1).alias("lines"))
     # two hashes of different seeds for each line, so that equal windows are equal beyond doubt
-    hashed = lines.select("id", F.expr("transform(lines, x -> xxhash64(x))").alias("a"), F.expr("transform(lines, x -> xxhash64(7, x))").alias("b"))
+    hashed = lines.select("id", "t", F.expr("transform(lines, x -> xxhash64(x))").alias("a"), F.expr("transform(lines, x -> xxhash64(7, x))").alias("b"))
     ha, hb = (", ".join(f"{c}[i + {k}]" for k in range(width)) for c in "ab")
     each = F.expr(f"transform(sequence(0, size(a) - {width}), i -> struct(xxhash64({ha}) as h1, xxhash64({hb}) as h2))")
-    return hashed.where(F.size("a") >= width).select("id", F.posexplode(each).alias("at", "w")).select("id", "at", "w.h1", "w.h2")
+    return hashed.where(F.size("a") >= width).select("id", "t", F.posexplode(each).alias("at", "w")).select("id", "t", "at", "w.h1", "w.h2")
 
 
 def _keep(width: int) -> Column:
@@ -35,21 +35,21 @@ def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     of the input's columns, unchanged, with ``kept`` (the text that is left), ``n_lines`` and ``n_removed``.
 
     A null text gives null and no lines; a text of fewer than ``width`` lines has no window and stays.  Rows
-    that repeat an id are the same document to this rule, so a window is first in both or in neither.  A row
-    without an id counts as earliest and is never cut.  An empty table gives an empty result.
+    that repeat an id are the same document to this rule, so a window is first in both or in neither, but each
+    loses lines of its own windows only.  A row without an id counts as earliest and is never cut.  An empty
+    table gives an empty result.
 
     The places of a window that occurs more than ``heavy`` times are dealt to many tasks.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("body"))
+    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("body")).withColumn("t", F.xxhash64("body"))
     windows = _windows(rows, width)
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first"))
     later = split_join(windows.where("id is not null"), first.where("n > 1"), ["h1", "h2"], "n", heavy=heavy)
     later = later.where("not (id <=> first.id and at = first.at)")
-    starts = later.groupBy(F.col("id").alias("cut")).agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    # rows without an id meet nothing here; a hash of the text keeps them from one task
-    own = F.struct(rows["id"].alias("id"), F.when(rows["id"].isNull(), F.xxhash64(rows["body"])).otherwise(0).alias("spread"))
-    lines = rows.join(starts, own == F.struct(starts["cut"].alias("id"), F.lit(0).cast("long").alias("spread")), "left").withColumn("lines", F.split("body", "\n", -1))
+    # each text has its own starts, where rows repeat an id too; the hash also spreads rows without an id
+    starts = later.groupBy(F.col("id").alias("cut"), F.col("t").alias("own")).agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    lines = rows.join(starts, (rows["id"] == starts["cut"]) & (rows["t"] == starts["own"]), "left").withColumn("lines", F.split("body", "\n", -1))
     lines = lines.withColumn("left", F.when(F.col("starts").isNull(), F.col("lines")).otherwise(_keep(width)))
     return lines.select(
         "row",

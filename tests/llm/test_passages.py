@@ -149,6 +149,7 @@ def test_phrases_whose_hashes_agree_stay(spark, monkeypatch):
 
 def test_lines(spark):
     rows = random_rows(["one", "two", ""], "\n", 4) + [(80, "a\nb\nc\na\nb\nc\na\nb\nc"), (81, "z\nz\nz\nz\nz"), (82, "a\nb")]
+    rows += [(83, "a\nb\nc\nq"), (83, "r\ns\nt\nu\nv"), (83, "w")]
     same(lines.dedup_lines(frame(spark, rows)), cut_lines(rows))
 
 
