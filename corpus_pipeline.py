@@ -30,7 +30,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Later occurrences of three-line windows are cut; documents of which nothing is left go.
 
     The first occurrence is that of the smallest id, then of the earlier line.  A null text stays null.  Rows that repeat an id
-    count as one document and keep a row each; a row without an id counts as earliest and is never cut.
+    count as one document, and each keeps what its own windows leave; a row without an id counts as earliest and is never cut.
     """
     cut = lines.cut_lines(docs)
     kept = {c: F.col("row")[c] for c in COLUMNS} | {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
@@ -69,8 +69,8 @@ STAGES = [
     ("sentencepiece", as_pieces),
 ]
 
-#: Cross-parsing, fingerprints and pieces are not SQL.  Tests hold the near-copy and benchmark stages against
-#: small plain versions with null and repeated ids; the language stage has none on a table.
+#: Cross-parsing, fingerprints and pieces are not SQL.  Tests hold all stages together, on a small table with null and
+#: repeated ids, against a plain version.
 ORACLE_SQL = None
 
 
