@@ -247,11 +247,20 @@ def distribution(hist: DataFrame, by: tuple[str, ...] = ("method", "masked")) ->
     return hist.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(*by))))
 
 
+def overlap_thresholds(hist: DataFrame, quantile: float = OVERLAP_QUANTILE, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Quantiles ``masked_t`` and ``unmasked_t`` of every image that has voxels of both kinds."""
+    t = quantiles(pooled(hist, keys), {"t": quantile}, (*keys, "masked"))
+    t = t.groupBy(*keys).agg(F.max(F.when(F.col("masked"), F.col("t"))).alias("masked_t"), F.max(F.when(~F.col("masked"), F.col("t"))).alias("unmasked_t"))
+    return t.where("masked_t is not null and unmasked_t is not null")
+
+
+def overlap_layer() -> Column:
+    """The layer of a voxel with ``masked``, ``brightness`` and the thresholds, or null."""
+    bright = ~F.col("masked") & (F.col("brightness") >= F.col("masked_t"))
+    return F.when(bright, "bright_unmasked").when(F.col("masked") & (F.col("brightness") <= F.col("unmasked_t")), "dim_masked")
+
+
 def overlap_layers(voxels: DataFrame, hist: DataFrame, quantile: float = OVERLAP_QUANTILE, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Unmasked voxels at least as bright as the masked quantile, and masked ones at most as bright as the unmasked one."""
-    side = (*keys, "masked")
-    t = quantiles(pooled(hist, keys), {"t": quantile}, side)
-    t = t.groupBy(*keys).agg(F.max(F.when(F.col("masked"), F.col("t"))).alias("masked_t"), F.max(F.when(~F.col("masked"), F.col("t"))).alias("unmasked_t"))
-    v = vectorise_pixels(voxels).join(t, list(keys)).where("masked_t is not null and unmasked_t is not null")
-    layer = F.when(~F.col("masked") & (F.col("brightness") >= F.col("masked_t")), "bright_unmasked").when(F.col("masked") & (F.col("brightness") <= F.col("unmasked_t")), "dim_masked")
-    return v.withColumn("layer", layer).where("layer is not null").select(*voxels.columns, "layer")
+    v = vectorise_pixels(voxels).join(overlap_thresholds(hist, quantile, keys), list(keys))
+    return v.withColumn("layer", overlap_layer()).where("layer is not null").select(*voxels.columns, "layer")

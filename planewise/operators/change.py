@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planewise.functions.columns import KEYS, ratio
 from planewise.functions.constants import CHANGE_CUTOFF
+from planewise.operators.areas import keep_labels
 
 
 def area_change(areas: DataFrame, metric: str = "abs_frac_change", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -40,6 +41,11 @@ def object_outliers(changes: DataFrame, cutoff: float = CHANGE_CUTOFF, statistic
     return out.withColumn("large_area_change", F.col("log_change") > F.log10(F.lit(cutoff)))
 
 
+def change_layer(voxels: DataFrame, objects: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Voxels of the objects that ``object_outliers`` flags."""
+    return keep_labels(voxels, objects.where("large_area_change"), keys)
+
+
 def relative_outliers(changes: DataFrame, cutoff: float, scope: str = "layer", statistic: str = "max", metric: str = "abs_frac_change", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Each object's change relative to the mean of its layer, or of all changes, and whether it exceeds the cutoff."""
     by = [*keys, "z_from"] if scope == "layer" else [*keys]

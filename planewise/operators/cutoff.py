@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planewise.functions.columns import ratio
-from planewise.functions.constants import BRIGHTNESS_CUTOFF
-from planewise.operators.brightness import auc, left_edge, vectorise_pixels
+from planewise.functions.columns import KEYS, ratio
+from planewise.functions.constants import BRIGHTNESS_CUTOFF, OVERLAP_QUANTILE
+from planewise.operators.brightness import auc, left_edge, overlap_layer, overlap_thresholds, vectorise_pixels
 
 
 def exact_bins() -> Column:
@@ -70,8 +70,27 @@ def cutoff_layers(voxels: DataFrame, cutoff: float = BRIGHTNESS_CUTOFF) -> DataF
     return vectorise_pixels(voxels).withColumn("layer", layer).where("layer is not null").select(*voxels.columns, "layer")
 
 
+def _flags() -> Column:
+    """Names of the flag layers that a mask belongs to."""
+    names = {"thin": "thin", "deep": "deep", "z_gap": "has_z_gap", "jitter": "large_jitter", "sway": "large_sway"}
+    return F.filter(F.array(*(F.when(F.col(c), F.lit(n)) for n, c in names.items())), lambda x: x.isNotNull())
+
+
 def flag_layers(voxels: DataFrame, masks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Voxels of flagged masks, once for each of the ``layer`` names thin, deep, z_gap, jitter and sway that the mask has."""
-    names = {"thin": "thin", "deep": "deep", "z_gap": "has_z_gap", "jitter": "large_jitter", "sway": "large_sway"}
-    layers = F.filter(F.array(*(F.when(F.col(c), F.lit(n)) for n, c in names.items())), lambda x: x.isNotNull())
-    return voxels.where("label > 0").join(masks.select(*keys, "label", F.explode(layers).alias("layer")), [*keys, "label"])
+    return voxels.where("label > 0").join(masks.select(*keys, "label", F.explode(_flags()).alias("layer")), [*keys, "label"])
+
+
+def defect_layers(voxels: DataFrame, masks: DataFrame, dropped: DataFrame, hist: DataFrame, quantile: float = OVERLAP_QUANTILE, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """All layers of a card in one pass over the voxels before the filter: the flags, ``dropped``, and the two by brightness.
+
+    ``masks`` are those the filter kept and ``hist`` was counted after it, so to the brightness layers a dropped label is
+    background.  An image without voxels of either kind has no brightness layers.
+    """
+    marks = masks.select(*keys, "label", _flags().alias("marks"))
+    marks = marks.unionByName(dropped.select(*keys, "label", F.array(F.lit("dropped")).alias("marks")))
+    v = voxels.join(marks, [*keys, "label"], "left").join(overlap_thresholds(hist, quantile, keys), list(keys), "left")
+    v = v.withColumn("marks", F.coalesce("marks", F.array().cast("array<string>")))
+    v = v.withColumn("masked", (F.col("label") > 0) & ~F.array_contains("marks", "dropped"))
+    layers = F.array_compact(F.concat("marks", F.array(overlap_layer())))
+    return v.select(*voxels.columns, F.explode(layers).alias("layer"))

@@ -55,6 +55,11 @@ def log_distribution(masks: DataFrame, column: str, cutoff: float, bins: int = 4
     return counts.join(counts.groupBy(*group).agg(F.sum("n").alias("total")), list(group)).select(*group, "bin", "n", ratio(F.col("n"), F.col("total")).alias("share"))
 
 
+def log_distribution_notes(masks: DataFrame, column: str, group: tuple[str, ...] = ("method",)) -> DataFrame:
+    """Median of the measured masks, which the plot marks, and how many could not be measured."""
+    return masks.groupBy(*group).agg(F.median(column).alias("median"), F.count_if(F.col(column).isNull()).alias("n_null"))
+
+
 def span_shares(spans: DataFrame, group: tuple[str, ...] = ("method",)) -> DataFrame:
     """Share of masks at each z span, without a cap."""
     counts = spans.groupBy(*group, "z_span").agg(F.count("*").alias("n"))

@@ -328,6 +328,15 @@ def flag_layers(s, d):
     return X.flag_layers(voxels(s, d, MIXED), _scan(s, d).masks, KEYS).groupBy(*KEYS, "layer").agg(F.count("*").alias("n"))
 
 
+_defects = f"select {K}, layer from vox join flags using ({K}, label) union all select {K}, 'dropped' from vox join dropped using ({K}, label) union all select {K}, case when label > 0 then 'dim_masked' else 'bright_unmasked' end from kvox join t using ({K}) where case when label > 0 then brightness <= ut else brightness >= mt end"
+
+
+@query(Q.query([*MASKS, Q.stage("flags", _flags), Q.EDGES, Q.hist("kvox"), Q.POOLED, Q.quantiles("pooled", f"{K}, masked", {"q": 0.5}), _layers], f"select {K}, layer, count(*) as n from ({_defects}) l group by all", "", "n"))
+def defect_layers(s, d):
+    c = _scan(s, d)
+    return X.defect_layers(c.voxels, c.masks, c.dropped, c.hist).groupBy(*KEYS, "layer").agg(F.count("*").alias("n"))
+
+
 def _split(cut: float) -> str:
     point = f"case when abs(width - 1) < 1e-8 and abs(lo - floor(lo) - 0.5) < 1e-8 then {cut} - 0.5 else {cut} end"
     return Q.stage("split", f"select *, n * w as below, n * (1 - w) as above from (select *, least(greatest(({point} - (lo + bin * width)) / width, 0), 1) as w from pooled) s")
@@ -446,6 +455,13 @@ def object_outliers_mean(s, d):
     return C.object_outliers(C.area_change(_areas(s, d, SUPPLIER)), statistic="mean")
 
 
+@query(_change("abs_frac_change", f"select {K}, label, z, count(*) as n from vox where ({K}, label) in (select ({K}, label) from changes where log_change > log10(1.0)) group by all", "", "z n"))
+def change_layer(s, d):
+    v = voxels(s, d, SUPPLIER)
+    objects = C.object_outliers(C.area_change(A.plane_areas(v)))
+    return C.change_layer(v, objects).groupBy(*KEYS, "label", "z").agg(F.count("*").alias("n"))
+
+
 @query(_change("abs_frac_change", "select method, count(*) as n, avg(abs_frac_change) as mean_change, median(abs_frac_change) as median_change, pow(10.0, avg(log_change)) as geo_mean_change, count(*) filter (where abs_frac_change > 1.0) as n_over, count(*) filter (where abs_frac_change = 0) as n_zero, count(*) filter (where sym_frac_change > 1.0) as n_over_sym from changes group by method", "mean_change median_change geo_mean_change", "n n_over n_zero n_over_sym"))
 def change_summary(s, d):
     return C.change_summary(C.area_change(_areas(s, d, SUPPLIER)))
@@ -631,6 +647,11 @@ def log_distribution(s, d):
     return Z.log_distribution(P.profiles(_areas(s, d, SUPPLIER), 3), "jitter", 1.75)
 
 
+@query(Q.query(PROFILE, "select method, median(jitter) as median, count(*) filter (where jitter is null) as n_null from profile group by method", "median", "n_null"))
+def log_distribution_notes(s, d):
+    return Z.log_distribution_notes(P.profiles(_areas(s, d, SUPPLIER), 3), "jitter")
+
+
 @query(Q.query(PROFILE, f"select a.* from areas a join (select {K}, label from profile where sway is not null order by sway desc, {K}, label limit 10) w using ({K}, label)", "", "z area"))
 def worst_profiles(s, d):
     areas = _areas(s, d, SUPPLIER)
