@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planewise.llm import language, lines, pages, phrases, pieces, private, simhash, substrings, templates, vectors
+from planewise.llm import interactions, language, lines, pages, phrases, pieces, private, simhash, substrings, templates, vectors
 from planewise.llm.common import read
 
 
@@ -54,6 +54,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_array_dedup,
@@ -66,9 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest_neighbours,
         op9_main_text,
         op10_line_dedup,
+        op12_filter_interactions,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": lines.ORACLE}
+    return {"op10_line_dedup": lines.ORACLE, "op12_filter_interactions": interactions.ORACLE}
