@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planewise.llm import interactions, language, lines, pages, phrases, pieces, private, simhash, substrings, templates, vectors
+from planewise.llm import interactions, language, lines, pages, phrases, pieces, private, simhash, substrings, templates, tiles, vectors
 from planewise.llm.common import read
 
 
@@ -58,6 +58,10 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_array_dedup,
@@ -71,9 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_main_text,
         op10_line_dedup,
         op12_filter_interactions,
+        op13_embedding_near_dedup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": lines.ORACLE, "op12_filter_interactions": interactions.ORACLE}
+    return {"op10_line_dedup": lines.ORACLE, "op12_filter_interactions": interactions.ORACLE, "op13_embedding_near_dedup": tiles.ORACLE}
