@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planewise.llm import interactions, language, lines, pages, phrases, pieces, private, simhash, substrings, templates, tiles, vectors
+from planewise.llm import divergence, interactions, language, lines, pages, phrases, pieces, private, simhash, substrings, templates, tiles, vectors
 from planewise.llm.common import read
 
 
@@ -54,6 +54,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest_neighbours,
         op9_main_text,
         op10_line_dedup,
+        op11_source_divergence,
         op12_filter_interactions,
         op13_embedding_near_dedup,
     )
@@ -81,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": lines.ORACLE, "op12_filter_interactions": interactions.ORACLE, "op13_embedding_near_dedup": tiles.ORACLE}
+    return {"op10_line_dedup": lines.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_filter_interactions": interactions.ORACLE, "op13_embedding_near_dedup": tiles.ORACLE}
