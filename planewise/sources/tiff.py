@@ -5,7 +5,8 @@ from __future__ import annotations
 import lzma
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,54 +76,119 @@ def _unpack_zstd(data: bytes) -> bytes:
 DECODERS = {1: bytes, 5: _unpack_words, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bits, 34925: lzma.decompress, 50000: _unpack_zstd}
 
 
-def _directories(data: bytes, order: str) -> Iterator[dict[int, tuple]]:
+#: Bytes from a place in a file, by offset and length.
+Fetch = Callable[[int, int], bytes]
+
+
+@dataclass(frozen=True)
+class Page:
+    """How one plane is held in a file: strips of ``down`` rows, or tiles of ``down`` rows and ``across`` columns."""
+
+    height: int
+    width: int
+    kind: str
+    packing: int
+    predictor: int
+    tiled: bool
+    across: int
+    down: int
+    offsets: tuple[int, ...]
+    sizes: tuple[int, ...]
+
+    def bands(self, y: int, rows: int) -> tuple[int, int]:
+        """The first strip, or row of tiles, of some rows of the plane, and the one after the last."""
+        return y // self.down, -(-min(self.height, y + rows) // self.down)
+
+
+def _directories(fetch: Fetch, order: str) -> Iterator[dict[int, tuple]]:
     """The tags of every page, of a file with offsets of 32 or 64 bits."""
-    version = struct.unpack_from(order + "H", data, 2)[0]
+
+    def take(kinds: str, at: int) -> tuple:
+        return struct.unpack(order + kinds, fetch(at, struct.calcsize(order + kinds)))
+
+    (version,) = take("H", 2)
     if version not in (42, 43):
         raise ValueError("not a TIFF file")
     count, wide, entry, inline = ("H", "I", 12, 4) if version == 42 else ("Q", "Q", 20, 8)
-    (at,) = struct.unpack_from(order + wide, data, 4 if version == 42 else 8)
+    (at,) = take(wide, 4 if version == 42 else 8)
     while at:
-        (n,) = struct.unpack_from(order + count, data, at)
+        (n,) = take(count, at)
         first = at + struct.calcsize(order + count)
         tags = {}
         for k in range(n):
-            tag, kind, size = struct.unpack_from(order + "HH" + wide, data, first + entry * k)
+            tag, kind, size = take("HH" + wide, first + entry * k)
             if kind in TYPES:
                 where = first + entry * k + 4 + struct.calcsize(order + wide)
                 if struct.calcsize(TYPES[kind]) * size > inline:
-                    (where,) = struct.unpack_from(order + wide, data, where)
-                tags[tag] = struct.unpack_from(f"{order}{size}{TYPES[kind]}", data, where)
+                    (where,) = take(wide, where)
+                tags[tag] = take(f"{size}{TYPES[kind]}", where)
         yield tags
-        (at,) = struct.unpack_from(order + wide, data, first + entry * n)
+        (at,) = take(wide, first + entry * n)
 
 
-def planes(data: bytes) -> Iterator[np.ndarray]:
-    """The pages of a single-channel TIFF: strips or tiles, plain or packed, in either byte order."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
+def pages(fetch: Fetch) -> Iterator[Page]:
+    """The pages of a single-channel TIFF, from its directories alone: strips or tiles, plain or packed, in either byte order."""
+    begin = bytes(fetch(0, 8))
+    order = {b"II": "<", b"MM": ">"}.get(begin[:2])
+    if order is None or len(begin) < 8:
         raise ValueError("not a TIFF file")
-    for tags in _directories(data, order):
-        decode, predictor = DECODERS.get(tags.get(COMPRESSION, (1,))[0]), tags.get(PREDICTOR, (1,))[0]
+    for tags in _directories(fetch, order):
+        packing, predictor = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
         tiled = TILE_OFFSETS in tags
-        if decode is None or predictor not in (1, 2) or tags.get(SAMPLES, (1,))[0] != 1 or not (tiled or OFFSETS in tags) or tags[BITS][0] % 8:
+        if packing not in DECODERS or predictor not in (1, 2) or tags.get(SAMPLES, (1,))[0] != 1 or not (tiled or OFFSETS in tags) or tags[BITS][0] % 8:
             raise ValueError("only single-channel pages of whole bytes, in a known compression, are supported")
         height, width = tags[HEIGHT][0], tags[WIDTH][0]
-        kind = np.dtype(f"{order}{KINDS[tags.get(FORMAT, (1,))[0]]}{tags[BITS][0] // 8}")
-        if tiled:
-            across, down = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]
-        else:
-            across, down = width, min(height, tags.get(ROWS, (height,))[0])
-        page = np.empty((-(-height // down) * down, -(-width // across) * across), kind)
-        each = zip(tags[TILE_OFFSETS if tiled else OFFSETS], tags[TILE_COUNTS if tiled else COUNTS], strict=True)
-        for k, (offset, size) in enumerate(each):
-            row, column = divmod(k, page.shape[1] // across)
-            high = down if tiled else min(down, height - row * down)
-            part = np.frombuffer(decode(data[offset : offset + size]), kind, high * across).reshape(high, across)
-            if predictor == 2:  # each value is held as its step from the one before it
-                part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-            page[row * down : row * down + high, column * across : (column + 1) * across] = part
-        yield page[:height, :width]
+        kind = f"{order}{KINDS[tags.get(FORMAT, (1,))[0]]}{tags[BITS][0] // 8}"
+        across, down = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(ROWS, (height,))[0]))
+        offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[OFFSETS], tags[COUNTS])
+        if len(offsets) != len(sizes):
+            raise ValueError("as many offsets as sizes are needed")
+        yield Page(height, width, kind, packing, predictor, tiled, across, down, offsets, sizes)
+
+
+def _segments(fetch: Fetch, offsets: Sequence[int], sizes: Sequence[int]) -> Iterator[memoryview]:
+    """The data of strips or tiles; those that follow each other in the file are fetched at once."""
+    at = 0
+    while at < len(offsets):
+        end, length = at + 1, sizes[at]
+        while end < len(offsets) and offsets[end] == offsets[at] + length:
+            length += sizes[end]
+            end += 1
+        data = memoryview(fetch(offsets[at], length))
+        if len(data) != length:
+            raise ValueError("the file ends early")
+        for k in range(at, end):
+            yield data[offsets[k] - offsets[at] :][: sizes[k]]
+        at = end
+
+
+def rows_of(fetch: Fetch, page: Page, y: int = 0, rows: int | None = None) -> np.ndarray:
+    """Some rows of a plane; only the strips or tiles that they touch are read."""
+    rows = min(page.height - y, page.height if rows is None else rows)
+    begin, end = page.bands(y, rows)
+    kind, per_row = np.dtype(page.kind), -(-page.width // page.across)
+    decode, plain = DECODERS[page.packing], page.packing == 1
+    part = slice(begin * per_row, end * per_row)
+    out = np.empty(((end - begin) * page.down, per_row * page.across), kind)
+    for k, data in enumerate(_segments(fetch, page.offsets[part], page.sizes[part])):
+        row, column = divmod(k, per_row)
+        high = page.down if page.tiled else min(page.down, page.height - (begin + row) * page.down)
+        piece = np.frombuffer(data if plain else decode(bytes(data)), kind, high * page.across).reshape(high, page.across)
+        if page.predictor == 2:  # each value is held as its step from the one before it
+            piece = np.cumsum(piece, axis=1, dtype=kind.newbyteorder("="))
+        out[row * page.down : row * page.down + high, column * page.across : (column + 1) * page.across] = piece
+    skipped = y - begin * page.down
+    return out[skipped : skipped + rows, : page.width]
+
+
+def planes(data: bytes) -> Iterator[np.ndarray]:
+    """The pages of a whole file."""
+
+    def fetch(at: int, n: int) -> bytes:
+        return data[at : at + n]
+
+    for page in pages(fetch):
+        yield rows_of(fetch, page)
 
 
 def load_volumes(spark: SparkSession, path: str, value: str, single_plane: bool = False) -> DataFrame:
