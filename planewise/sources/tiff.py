@@ -6,7 +6,7 @@ import lzma
 import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -143,7 +143,20 @@ def pages(fetch: Fetch) -> Iterator[Page]:
         offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[OFFSETS], tags[COUNTS])
         if len(offsets) != len(sizes):
             raise ValueError("as many offsets as sizes are needed")
-        yield Page(height, width, kind, packing, predictor, tiled, across, down, offsets, sizes)
+        page = Page(height, width, kind, packing, predictor, tiled, across, down, offsets, sizes)
+        yield _finer(page) if packing == 1 and not tiled else page
+
+
+def _finer(page: Page, size: int = 1 << 20) -> Page:
+    """The same page of plain strips, cut to about ``size`` bytes, so that a strip of any length is read in parts."""
+    line = page.width * int(page.kind[2:])
+    rows = max(1, size // max(1, line))
+    if len(page.offsets) > 1:
+        rows = max(r for r in range(1, min(rows, page.down) + 1) if page.down % r == 0)
+    if rows >= page.down:
+        return page
+    cuts = [(at + r * line, min(rows * line, n - r * line)) for at, n in zip(page.offsets, page.sizes, strict=True) for r in range(0, n // line, rows)]
+    return replace(page, down=rows, offsets=tuple(at for at, _ in cuts), sizes=tuple(n for _, n in cuts))
 
 
 def _segments(fetch: Fetch, offsets: Sequence[int], sizes: Sequence[int]) -> Iterator[memoryview]:
