@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ class Node:
     __slots__ = ("counts", "docs", "edges")
 
     def __init__(self) -> None:
-        self.edges: dict[int, tuple[bytes, Node]] = {}
+        self.edges: dict[int, tuple[bytes, Node]] | None = None
         self.counts: dict[str, int] | None = None
         self.docs = 0
 
@@ -52,35 +53,37 @@ class Trie:
         """The node of a term, which is made where it is not there yet."""
         node, at, end = self.root, 0, len(term)
         while at < end:
-            label, child = node.edges.get(term[at], (b"", None))
-            if child is None:
+            if node.edges is None:
+                node.edges = {}
+            found = node.edges.get(term[at])
+            if found is None:
                 child = Node()
                 node.edges[term[at]] = (term[at:], child)
                 node, at = child, end
-            elif term.startswith(label, at):
+                continue
+            label, child = found
+            if term.startswith(label, at):
                 node, at = child, at + len(label)
             else:
                 k = 1
                 while at + k < end and label[k] == term[at + k]:
                     k += 1
                 fork = Node()
-                fork.edges[label[k]] = (label[k:], child)
+                fork.edges = {label[k]: (label[k:], child)}
                 node.edges[term[at]] = (label[:k], fork)
                 node, at = fork, at + k
-        if node.counts is None:
-            node.counts = {}
-            self.leaves += 1
         return node
 
     def merge(self, term: bytes, counts: dict[str, int], docs: int) -> None:
         """Add a leaf of another trie, or of counts that were kept beside this one."""
         node = self.leaf(term)
         node.docs += docs
-        if node.counts:
+        if node.counts is None:
+            node.counts = counts
+            self.leaves += 1
+        else:
             for source, n in counts.items():
                 node.counts[source] = node.counts.get(source, 0) + n
-        else:
-            node.counts = counts
 
     def walk(self) -> Iterator[tuple[bytes, Node]]:
         """The terms in the order of their bytes, which is that of their characters in UTF-8."""
@@ -89,7 +92,7 @@ class Trie:
             term, node = open_nodes.pop()
             if node.counts is not None:
                 yield term, node
-            for first in sorted(node.edges, reverse=True):
+            for first in sorted(node.edges or (), reverse=True):
                 label, child = node.edges[first]
                 open_nodes.append((term + label, child))
 
@@ -159,17 +162,21 @@ def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The leaves of a task's tries of all its texts; a group's own leaf is that of the empty term."""
     tries: dict[str, Trie] = {}
     held = _Counts()
-    for part in parts:
-        for at in range(0, part.num_rows, SLICE):
-            for row in zip(*(c.to_pylist() for c in part.slice(at, SLICE).columns), strict=True):
-                held.add(*row)
-                if held.size >= POUR:
-                    held.pour(tries)
-                    if sum(t.leaves for t in tries.values()) > LEAVES:
-                        yield from _sent(tries)
-                        tries = {}
-    held.pour(tries)
-    yield from _sent(tries)
+    gc.disable()  # millions of counters, none of them in a cycle, would be gone through again and again
+    try:
+        for part in parts:
+            for at in range(0, part.num_rows, SLICE):
+                for row in zip(*(c.to_pylist() for c in part.slice(at, SLICE).columns), strict=True):
+                    held.add(*row)
+                    if held.size >= POUR:
+                        held.pour(tries)
+                        if sum(t.leaves for t in tries.values()) > LEAVES:
+                            yield from _sent(tries)
+                            tries = {}
+        held.pour(tries)
+        yield from _sent(tries)
+    finally:
+        gc.enable()
 
 
 def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:

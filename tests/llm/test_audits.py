@@ -90,7 +90,7 @@ def test_trie_walks_in_byte_order():
         trie.merge(t, {"s": 1}, 1)
         trie.merge(t, {"s": 2, "o": 1}, 2)
     assert [t for t, _ in trie.walk()] == sorted(terms)
-    assert all(node.counts == {"s": 3, "o": 1} and node.docs == 3 for _, node in trie.walk())
+    assert trie.leaves == len(terms) and all(node.counts == {"s": 3, "o": 1} and node.docs == 3 for _, node in trie.walk())
 
 
 def test_shares_are_exact_for_large_counts():
