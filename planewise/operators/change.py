@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planewise.functions.columns import KEYS, ratio
 from planewise.functions.constants import CHANGE_CUTOFF
 from planewise.operators.areas import keep_labels
+from planewise.operators.selection import summarised
 
 
 def area_change(areas: DataFrame, metric: str = "abs_frac_change", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -65,23 +66,27 @@ def size_change(areas: DataFrame, adjacent_only: bool = True, groups: tuple[str,
 
 def change_summary(changes: DataFrame, cutoff: float = CHANGE_CUTOFF, metric: str = "abs_frac_change", keys: tuple[str, ...] = ("method",)) -> DataFrame:
     """What is printed of all transitions."""
-    return changes.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(metric).alias("mean_change"), F.median(metric).alias("median_change"), F.pow(F.lit(10.0), F.avg("log_change")).alias("geo_mean_change"),
+    sums = [
+        F.count("*").alias("n"), F.avg(metric).alias("mean_change"), F.pow(F.lit(10.0), F.avg("log_change")).alias("geo_mean_change"),
         F.count_if(F.col(metric) > cutoff).alias("n_over"), F.count_if(F.col(metric) == 0).alias("n_zero"), F.count_if(F.col("sym_frac_change") > cutoff).alias("n_over_sym"),
-    )
+    ]
+    return summarised(changes, sums, {"median_change": (metric, 0.5)}, keys, (metric, "log_change", "sym_frac_change"))
+
+
+def _spread(metric: str) -> list[Column]:
+    return [F.count("*").alias("n_objects"), F.avg(metric).alias("mean_change"), F.try_divide(F.stddev_samp(metric), F.sqrt(F.count("*"))).alias("sem_change")]
 
 
 def layer_spread(changes: DataFrame, metric: str = "abs_frac_change", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Mean, quartiles and standard error of each transition: the bands that the change plots draw."""
-    spread = F.try_divide(F.stddev_samp(metric), F.sqrt(F.count("*")))
-    return changes.groupBy(*keys, "z_from", "z_to").agg(
-        F.count("*").alias("n_objects"), F.avg(metric).alias("mean_change"), F.percentile(metric, F.lit(0.25)).alias("p25_change"), F.percentile(metric, F.lit(0.75)).alias("p75_change"), spread.alias("sem_change")
-    )
+    """Mean, quartiles and standard error of each transition of a field: the bands that the change plots draw."""
+    quartiles = (F.percentile(metric, F.lit(q / 100)).alias(f"p{q}_change") for q in (25, 75))
+    return changes.groupBy(*keys, "z_from", "z_to").agg(*_spread(metric), *quartiles)
 
 
 def compare_layer_change(changes: DataFrame, metric: str = "abs_frac_change") -> DataFrame:
     """The same for each technique over all its fields."""
-    return layer_spread(changes, metric, ("method",))
+    quartiles = {f"p{q}_change": (metric, q / 100) for q in (25, 75)}
+    return summarised(changes, _spread(metric), quartiles, ("method", "z_from", "z_to"), (metric,))
 
 
 def log_axis(changes: DataFrame, cutoff: float | None = CHANGE_CUTOFF, decades: int = 4, metric: str = "abs_frac_change", xmin: float | None = None, xmax: float | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from planewise.functions.columns import KEYS, first_of_largest, flag
 from planewise.functions.constants import AREA_FLOOR, CUTOFF_QUANTILE, JITTER_CUTOFF, SLIVER_FRAC, SWAY_CUTOFF
+from planewise.functions.storage import written
+from planewise.operators.selection import quantiles
 
 
 def kept_planes(areas: DataFrame, area_floor: float = AREA_FLOOR, sliver_frac: float = SLIVER_FRAC, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -56,7 +58,8 @@ def flag_metric(table: DataFrame, column: str, cutoff: float | None, quantile: f
     """
     if cutoff is not None:
         return table.withColumn(f"cutoff_{column}", F.lit(float(cutoff))).withColumn(f"large_{column}", flag(F.col(column), F.lit(float(cutoff))))
-    limit = table.agg(F.percentile(column, F.lit(quantile)).alias(f"cutoff_{column}"))
+    table = written(table)
+    limit = quantiles(table, {f"cutoff_{column}": (column, quantile)})
     return table.crossJoin(F.broadcast(limit)).withColumn(f"large_{column}", flag(F.col(column), F.col(f"cutoff_{column}")))  # one row
 
 

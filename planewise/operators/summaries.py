@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planewise.functions.columns import KEYS, ratio
+from planewise.operators.selection import summarised
 from planewise.sources.catalog import variant
 
 
 def span_summary(spans: DataFrame, group: tuple[str, ...] = ("method",)) -> DataFrame:
     """Masks and quartiles of their z span."""
-    q = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    return spans.groupBy(*group).agg(F.count("*").alias("n_masks"), *(F.percentile("z_span", F.lit(v)).alias(f"{k}_z_span") for k, v in q.items()), F.max("z_span").alias("max_z_span"))
+    quartiles = {f"p{q}_z_span": ("z_span", q / 100) for q in (25, 50, 75)}
+    out = summarised(spans, [F.count("*").alias("n_masks"), F.max("z_span").alias("max_z_span")], quartiles, group, ("z_span",))
+    return out.select(*group, "n_masks", "p25_z_span", "p50_z_span", "p75_z_span", "max_z_span")
 
 
 def output_summary(spans: DataFrame, cutoff: int = 1, group: tuple[str, ...] = ("method",)) -> DataFrame:
@@ -22,9 +24,10 @@ def output_summary(spans: DataFrame, cutoff: int = 1, group: tuple[str, ...] = (
 
 def profile_quantiles(masks: DataFrame, column: str, cutoff: float, group: tuple[str, ...] = ("method",)) -> DataFrame:
     """Upper quantiles of a profile metric and the share of measured masks above the cutoff."""
-    q = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    q = {f"p{k}": (column, k / 100) for k in (50, 75, 90, 95, 99)}
     over = ratio(100.0 * F.count_if(F.col(column) > cutoff), F.count(column))
-    return masks.groupBy(*group).agg(F.count(column).alias("n"), *(F.percentile(column, F.lit(v)).alias(k) for k, v in q.items()), F.max(column).alias("max"), over.alias("pct_over"))
+    out = summarised(masks, [F.count(column).alias("n"), F.max(column).alias("max"), over.alias("pct_over")], q, group, (column,))
+    return out.select(*group, "n", *q, "max", "pct_over")
 
 
 def worst(masks: DataFrame, column: str, n: int = 10, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -57,7 +60,8 @@ def log_distribution(masks: DataFrame, column: str, cutoff: float, bins: int = 4
 
 def log_distribution_notes(masks: DataFrame, column: str, group: tuple[str, ...] = ("method",)) -> DataFrame:
     """Median of the measured masks, which the plot marks, and how many could not be measured."""
-    return masks.groupBy(*group).agg(F.median(column).alias("median"), F.count_if(F.col(column).isNull()).alias("n_null"))
+    out = summarised(masks, [F.count_if(F.col(column).isNull()).alias("n_null")], {"median": (column, 0.5)}, group, (column,))
+    return out.select(*group, "median", "n_null")
 
 
 def span_shares(spans: DataFrame, group: tuple[str, ...] = ("method",)) -> DataFrame:

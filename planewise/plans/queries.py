@@ -17,6 +17,7 @@ from planewise.operators import cutoff as X
 from planewise.operators import inference as I
 from planewise.operators import profile as P
 from planewise.operators import scorecard as S
+from planewise.operators import selection as L
 from planewise.operators import summaries as Z
 from planewise.plans import sql as Q
 from planewise.sources import catalog as G
@@ -103,10 +104,9 @@ MASK_INTS = SPAN_INTS + " n_planes_used n_reversals z_at_jitter z_at_sway"
 )
 def profile_by_method(s, d):
     p = P.flag_jitter(P.profiles(_areas(s, d, SUPPLIER), area_floor=3))
-    return p.groupBy("method").agg(
-        F.count("*").alias("n_masks"), F.median("jitter").alias("median_jitter"), F.percentile("jitter", F.lit(0.9)).alias("p90_jitter"),
-        F.try_divide(100.0 * F.count_if("large_jitter"), F.count("jitter").cast("double")).alias("pct_jittery"), F.median("sway").alias("median_sway"),
-    )
+    sums = [F.count("*").alias("n_masks"), F.try_divide(100.0 * F.count_if("large_jitter"), F.count("jitter").cast("double")).alias("pct_jittery")]
+    wanted = {"median_jitter": ("jitter", 0.5), "p90_jitter": ("jitter", 0.9), "median_sway": ("sway", 0.5)}
+    return L.summarised(p, sums, wanted, ("method",), ("jitter", "sway", "large_jitter"))
 
 
 @query(Q.query([Q.vox(SUPPLIER), Q.AREAS], "select * from areas", "", "z area"))
