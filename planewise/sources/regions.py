@@ -37,8 +37,18 @@ def image_planes(spark: SparkSession, image_roots: Mapping[str, str], pattern: s
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    return _stacked(out)
+
+
+def image_files(spark: SparkSession, path: str, region: str = "", fov: str = "") -> DataFrame:
+    """The same of one field, whose planes are the files that ``path`` matches."""
+    files = spark.read.format("binaryFile").load(path)
+    return _stacked(files.select(F.lit(region).alias("region"), F.lit(fov).alias("fov"), "path"))
+
+
+def _stacked(files: DataFrame) -> DataFrame:
     order = Window.partitionBy(*IMAGE).orderBy(G.plane_number(F.col("path")), "path")
-    return out.withColumn("z", F.row_number().over(order) - 1)
+    return files.withColumn("z", F.row_number().over(order) - 1)
 
 
 def _page(path: str = "path") -> F.Column:
