@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.functions.columns import ratio
 from planewise.functions.constants import POLARITY
 from planewise.functions.storage import written
+from planewise.operators import ranks as R
 
 PAIR = ("region", "fov")
 
@@ -23,87 +24,25 @@ def paired(table: DataFrame, a: str, b: str, columns: tuple[str, ...], keys: tup
     return wide.where("x is not null and y is not null").withColumn("diff", F.col("y") - F.col("x"))
 
 
-def walsh_median(diffs: np.ndarray) -> float | None:
-    """Median of the means of all pairs, each value with itself too, without listing the pairs.
-
-    The range of a pair's sum is halved until few pairs are left around the rank sought; those are sorted.
-    """
-    d = np.sort(diffs)
-    n = len(d)
-    if not n:
-        return None
-    places = np.arange(n)
-    most = max(64, 4 * n)
-    total = n * (n + 1) // 2
-
-    def upto(bound: float) -> np.ndarray:
-        """For each value, how many of those from itself on make a sum of at most ``bound`` with it."""
-        return np.maximum(np.searchsorted(d, bound - d, "right") - places, 0)
-
-    def sum_of_rank(k: int) -> float:
-        low, high = 2 * d[0] - 1, 2 * d[-1] + 1
-        under, over = 0, total
-        while over - under > most:
-            middle = low + (high - low) / 2
-            if not low < middle < high:
-                return float(high)
-            count = int(upto(middle).sum())
-            if count <= k:
-                low, under = middle, count
-            else:
-                high, over = middle, count
-        begin, end = upto(np.nextafter(low, -np.inf)), upto(np.nextafter(high, np.inf))
-        sums = np.sort(np.concatenate([d[i] + d[i + begin[i] : i + end[i]] for i in range(n)]))
-        return float(sums[k - int(begin.sum())])
-
-    return (sum_of_rank((total - 1) // 2) + sum_of_rank(total // 2)) / 4
-
-
 def hodges_lehmann(pairs: DataFrame) -> DataFrame:
-    """Median of the means of all pairs of differences, each with itself too; a metric has a row for each field."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"metric": [frame["metric"].iloc[0]], "hl_shift": [walsh_median(frame["diff"].to_numpy())]})
-
-    return pairs.select("metric", "diff").groupBy("metric").applyInPandas(one, "metric string, hl_shift double")
+    """Median of the means of all pairs of differences, each with itself too, of every metric."""
+    return R.hodges_lehmann(pairs)
 
 
 def rank_biserial(pairs: DataFrame) -> DataFrame:
     """(W+ - W-) / (W+ + W-) with tied ranks averaged and zeros left out."""
-    w = Window.partitionBy("metric").orderBy(F.abs("diff"))
-    tied = F.count("*").over(Window.partitionBy("metric", F.abs("diff")))
-    ranked = pairs.where("diff <> 0").withColumn("r", F.rank().over(w) + (tied - 1) / 2)
-    up, down = F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(0.0)), F.sum(F.when(F.col("diff") < 0, F.col("r")).otherwise(0.0))
-    return ranked.groupBy("metric").agg(ratio(up - down, up + down).alias("rank_biserial"))
+    return R.rank_biserial(R.signed_ranks(pairs))
 
 
 def paired_medians(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("metric").agg(F.count("*").cast("int").alias("n_pairs"), F.median("x").alias("median_a"), F.median("y").alias("median_b"), F.median("diff").alias("median_diff"))
 
 
-def bootstrap_interval(values: np.ndarray, n_boot: int = 10000, alpha: float = 0.05, seed: int = 0) -> tuple[float | None, float | None]:
-    """Percentile interval of the median; none for fewer than two values.  Draws come in blocks of bounded size."""
-    values = values[np.isfinite(values)]
-    if len(values) < 2:
-        return None, None
-    rng = np.random.default_rng(seed)
-    block = max(1, 4_000_000 // len(values))
-    medians = np.concatenate([np.median(rng.choice(values, size=(min(block, n_boot - i), len(values))), axis=1) for i in range(0, n_boot, block)])
-    low, high = np.quantile(medians, [alpha / 2, 1 - alpha / 2])
-    return float(low), float(high)
-
-
-def signed_rank_p(diffs: np.ndarray, exact_up_to: int = 50) -> float | None:
-    """Two-sided Wilcoxon signed-rank p-value, zeros left out; exact without ties while small, else the normal one."""
-    d = diffs[diffs != 0]
-    n = len(d)
+def signed_rank_p(n: int, n_sizes: int, up: float, ties: float, n_zero: int, exact_up_to: int = 50) -> float | None:
+    """Two-sided Wilcoxon p-value of ``n`` differences that are not zero, from their signed ranks; exact without ties while small, else the normal one."""
     if not n:
         return None
-    size = np.abs(d)
-    _, inverse, counts = np.unique(size, return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
-    up = float(ranks[d > 0].sum())
-    if n <= exact_up_to and len(counts) == n and n == len(diffs):
+    if n <= exact_up_to and n_sizes == n and not n_zero:
         ways = np.ones(1)
         for r in range(1, n + 1):  # how many sets of ranks have each sum
             grown = np.zeros(len(ways) + r)
@@ -112,42 +51,47 @@ def signed_rank_p(diffs: np.ndarray, exact_up_to: int = 50) -> float | None:
             ways = grown
         low = min(up, n * (n + 1) / 2 - up)
         return float(min(1.0, 2 * ways[: int(low) + 1].sum() / 2.0**n))
-    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - float((counts**3 - counts).sum()) / 48)
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
     return math.erfc(abs(up - n * (n + 1) / 4) / spread / math.sqrt(2)) if spread else None
 
 
-def resampled(pairs: DataFrame, n_boot: int = 10000, alpha: float = 0.05, seed: int = 0, keys: tuple[str, ...] = PAIR) -> DataFrame:
-    """Bootstrap interval and signed-rank p of each metric; differences are drawn from in the order of their fields."""
+def signed_rank_test(pairs: DataFrame) -> DataFrame:
+    """``rank_biserial`` and ``p_wilcoxon`` of every metric that has a difference other than zero."""
+    ranks = R.signed_ranks(pairs).join(pairs.groupBy("metric").agg(F.count_if(F.col("diff") == 0).alias("n_zero")), "metric")
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        d = frame.sort_values(list(keys))["diff"].to_numpy()
-        low, high = bootstrap_interval(d, n_boot, alpha, seed)
-        return pd.DataFrame({"metric": [frame["metric"].iloc[0]], "ci_lo": [low], "ci_hi": [high], "p_wilcoxon": [signed_rank_p(d)]}).astype({"ci_lo": float, "ci_hi": float, "p_wilcoxon": float})
+    def p_values(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:  # a row for each metric
+            found = [signed_rank_p(*r) for r in part[["n", "n_sizes", "up", "ties", "n_zero"]].itertuples(index=False)]
+            yield pd.DataFrame({"metric": part["metric"], "rank_biserial": part["rank_biserial"], "p_wilcoxon": pd.array(found, "Float64")})
 
-    return pairs.select(*keys, "metric", "diff").groupBy("metric").applyInPandas(one, "metric string, ci_lo double, ci_hi double, p_wilcoxon double").replace(float("nan"), None)
+    ranks = ranks.join(R.rank_biserial(ranks), "metric")
+    return ranks.mapInPandas(p_values, "metric string, rank_biserial double, p_wilcoxon double")
 
 
-def compare_techniques(table: DataFrame, a: str, b: str, columns: tuple[str, ...], n_boot: int = 10000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Everything about the paired differences of each metric, and which technique is better by its polarity."""
-    pairs = written(paired(table, a, b, columns))
-    out = paired_medians(pairs).join(hodges_lehmann(pairs), "metric", "left").join(resampled(pairs, n_boot, alpha, seed), "metric", "left").join(rank_biserial(pairs), "metric", "left")
+def compare_exactly(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Everything about the paired differences of each metric that is not drawn, and which technique is better by its polarity."""
+    out = paired_medians(pairs).join(hodges_lehmann(pairs), "metric", "left").join(signed_rank_test(pairs), "metric", "left")
     polarity = F.element_at(F.create_map(*(F.lit(x) for kv in POLARITY.items() for x in kv)), F.col("metric"))
     sign = F.signum(F.col("median_diff")) * F.coalesce(polarity, F.lit(0))
     return out.withColumn("better", F.when(sign > 0, b).when(sign < 0, a).otherwise(""))
 
 
+def compare_techniques(table: DataFrame, a: str, b: str, columns: tuple[str, ...], n_boot: int = 10000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """``compare_exactly`` with the bootstrap interval of the median difference; differences are drawn from in the order of their fields."""
+    pairs = written(paired(table, a, b, columns))
+    drawn = R.bootstrap_intervals(pairs, "metric", PAIR, "diff", n_boot, alpha, seed)
+    return compare_exactly(pairs, a, b).join(drawn, "metric", "left")
+
+
 def technique_summary(scores: DataFrame, columns: tuple[str, ...] = ("Span", "Jitter", "Sway", "Signal", "Total"), n_boot: int = 10000, seed: int = 0, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """Fields, and median of every score with its interval as text, for each technique."""
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(keys))
-        row: dict = {"method": frame["method"].iloc[0], "n_fovs": len(frame)}
-        for c in columns:
-            v = frame[c].to_numpy(dtype=float)
-            low, high = bootstrap_interval(v, n_boot, 0.05, seed)
-            row[c] = float(np.nanmedian(v)) if np.isfinite(v).any() else None
-            row[f"{c}_ci"] = "–" if low is None else f"[{low:.2f}, {high:.2f}]"
-        return pd.DataFrame([row])
-
-    kind = "method string, n_fovs long, " + ", ".join(f"{c} double, {c}_ci string" for c in columns)
-    return scores.select(*keys, "method", *columns).groupBy("method").applyInPandas(one, kind)
+    value = F.explode(F.array(*(F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("value")) for c in columns)))
+    long = written(scores.select(*keys, "method", value.alias("s")).select(*keys, "method", "s.score", "s.value"))
+    # a line of a technique is what draws are made for
+    named = long.withColumn("line", F.concat_ws("\n", "score", "method"))
+    drawn = R.bootstrap_intervals(named, "line", keys, "value", n_boot, 0.05, seed)
+    lines = named.groupBy("method", "score", "line").agg(F.count("*").alias("n_fovs"), F.median(F.when(~F.isnan("value"), F.col("value"))).alias("median")).join(drawn, "line", "left")
+    shown = F.when(F.col("ci_lo").isNull(), F.lit("–")).otherwise(F.format_string("[%.2f, %.2f]", "ci_lo", "ci_hi"))
+    both = (f for c in columns for f in (F.max(F.when(F.col("score") == c, F.col("median"))).alias(c), F.max(F.when(F.col("score") == c, shown)).alias(f"{c}_ci")))
+    return lines.groupBy("method").agg(F.max("n_fovs").alias("n_fovs"), *both)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from planewise.functions.columns import KEYS
 from planewise.functions.constants import SCORE_WEIGHTS
+from planewise.functions.storage import written
 from planewise.operators import areas as A
 from planewise.operators import brightness as B
 from planewise.operators import change as C
@@ -527,14 +528,18 @@ def _scores(s: SparkSession, d: str) -> DataFrame:
 PAIRS = [*SCORES, Q.pairs(CARD)]
 
 
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return written(I.paired(_scores(s, d), "F", "O", CARD))
+
+
 @query(Q.query(PAIRS, "select metric, count(*) as n_pairs, median(x) as median_a, median(y) as median_b, median(diff) as median_diff from pairs group by metric", "median_a median_b median_diff", "n_pairs"))
 def paired_medians(s, d):
-    return I.paired_medians(I.paired(_scores(s, d), "F", "O", CARD))
+    return I.paired_medians(_pairs(s, d))
 
 
 @query(Q.query(PAIRS, "select a.metric, median((a.diff + b.diff) / 2) as hl_shift from pairs a join pairs b on a.metric = b.metric and (a.region, a.fov) <= (b.region, b.fov) group by a.metric", "hl_shift"))
 def hodges_lehmann(s, d):
-    return I.hodges_lehmann(I.paired(_scores(s, d), "F", "O", CARD))
+    return I.hodges_lehmann(_pairs(s, d))
 
 
 @query(
@@ -545,7 +550,7 @@ def hodges_lehmann(s, d):
     )
 )
 def rank_biserial(s, d):
-    return I.rank_biserial(I.paired(_scores(s, d), "F", "O", CARD))
+    return I.rank_biserial(_pairs(s, d))
 
 
 _ranked = Q.stage("ranked", "select *, rank() over (partition by metric order by abs(diff)) + (count(*) over (partition by metric, abs(diff)) - 1) / 2.0 as r from pairs where diff <> 0")
@@ -560,7 +565,21 @@ _exact = [
 @query(Q.query(_exact, "select m.*, hl_shift, rank_biserial, case when median_diff > 0 then 'O' when median_diff < 0 then 'F' else '' end as better from med m left join hl using (metric) left join rb using (metric)", "median_a median_b median_diff hl_shift rank_biserial", "n_pairs"))
 def compare_techniques_exact(s, d):
     """All of the comparison that is not resampled; all lines of the card are better when they are higher."""
-    return I.compare_techniques(_scores(s, d), "F", "O", CARD).drop("ci_lo", "ci_hi", "p_wilcoxon")
+    return I.compare_exactly(_pairs(s, d), "F", "O").drop("p_wilcoxon")
+
+
+#: Metrics of which less is better, and of which neither is, with one of which more is.
+DIRECTIONS = {"pct_thin": -1, "median_jitter": -1, "p90_sway": -1, "n_masks": 0, "n_with_jitter": 0, "separability": 1}
+_better = " ".join(f"when metric = '{m}' then {p}" for m, p in DIRECTIONS.items())
+_directions = [*METRICS, *LIGHT, Q.stage("lined", f"select * from metrics left join brightness using ({K})"), Q.pairs(tuple(DIRECTIONS), "lined"), *_exact[len(PAIRS) :]]
+
+
+@query(Q.query(_directions, f"select m.*, hl_shift, rank_biserial, case when median_diff * (case {_better} end) > 0 then 'O' when median_diff * (case {_better} end) < 0 then 'F' else '' end as better from med m left join hl using (metric) left join rb using (metric)", "median_a median_b median_diff hl_shift rank_biserial", "n_pairs"))
+def compare_metrics_exact(s, d):
+    """The same of metrics of all three directions."""
+    scan = _scan(s, d)
+    table = S.fov_metrics(scan.masks, scan.brightness, scan.filters)
+    return I.compare_exactly(written(I.paired(table, "F", "O", tuple(DIRECTIONS))), "F", "O").drop("p_wilcoxon")
 
 
 @query()
