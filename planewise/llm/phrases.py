@@ -23,6 +23,8 @@ GRAM = 4
 SHARD, UNIT = 6 << 20, 400_000
 #: Words of an automaton's passages are coded as the characters from here on; all other words as this one.
 OTHER = 0x10000
+#: Words of a passage at most; longer ones are cut to pieces that share all windows across a cut.
+PIECE = 100_000
 NEVER = np.iinfo(np.int64).max
 
 
@@ -176,6 +178,16 @@ def _lookup(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, known[at] == keys
 
 
+def pieces(first: np.ndarray, at: np.ndarray, length: np.ndarray, width: int, most: int | None = None) -> np.ndarray:
+    """Passages as columns of document, place and words, those of over ``most`` words as pieces that overlap by ``width`` - 1."""
+    most = max(width, PIECE if most is None else most)
+    step = most - width + 1
+    parts = np.maximum(1, -(-(length - width + 1) // step))
+    later = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * step
+    first, at, length = (np.repeat(x, parts) for x in (first, at, length))
+    return np.stack([first, at + later, np.minimum(length - later, most)])
+
+
 def _wanted(texts: DataFrame, confirmed: DataFrame, width: int, gram: int) -> DataFrame:
     """For each shard, the passages that it asks for: document ``first``, place ``at`` and ``n`` words, once each."""
 
@@ -206,7 +218,7 @@ def _wanted(texts: DataFrame, confirmed: DataFrame, width: int, gram: int) -> Da
                 new = np.concatenate([[True], (f[1:] != f[:-1]) | (a[1:] != a[:-1] + 1) | (t[1:] != t[:-1]) | (q[1:] != q[:-1] + 1)])
                 begin = np.flatnonzero(new)
                 length = np.diff(np.concatenate([begin, [len(hit)]])) + width - 1
-                out = np.unique(np.stack([f[begin], a[begin], length]), axis=1)
+                out = np.unique(pieces(f[begin], a[begin], length, width), axis=1)
         p = pa.array(np.full(out.shape[1], known.column("p")[0].as_py() if known.num_rows else 0, np.int32))
         return pa.table([p, *map(pa.array, out)], ["p", "first", "at", "n"])
 
@@ -235,21 +247,22 @@ def _passages(texts: DataFrame, once: DataFrame) -> DataFrame:
 
 
 def automata(passages: dict[bytes, int], unit: int = UNIT) -> Iterator[tuple[dict[bytes, str], ahocorasick.Automaton]]:
-    """Automata of the passages, ``unit`` words at a time, with the characters that stand for their words.
+    """Automata of the passages, of ``unit`` words at most, with the characters that stand for their words.
 
+    A passage of more than ``unit`` words is an automaton of its own; there are characters for over a million different words.
     An entry's value is the number of its words and the document that the passage is from.
     """
     code: dict[bytes, str] = {}
     found, size = ahocorasick.Automaton(), 0
     for passage, first in passages.items():
         words = passage.split(b" ")
-        text = "".join([code.setdefault(w, chr(OTHER + 1 + len(code))) for w in words])
-        found.add_word(text, (len(words), first))
-        size += len(words)
-        if size >= unit:
+        if size and size + len(words) > unit:
             found.make_automaton()
             yield code, found
             code, found, size = {}, ahocorasick.Automaton(), 0
+        text = "".join([code.setdefault(w, chr(OTHER + 1 + len(code))) for w in words])
+        found.add_word(text, (len(words), first))
+        size += len(words)
     if size:
         found.make_automaton()
         yield code, found

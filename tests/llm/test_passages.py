@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
 from planewise.llm import lines, phrases, substrings
@@ -176,3 +177,15 @@ def test_registered(spark, sf_dir):
     same(op1_suffix_array_dedup(spark, sf_dir), cut_strings(rows, 200))
     same(op3_repeated_phrases(spark, sf_dir), cut_phrases(rows, 13))
     same(op10_line_dedup(spark, sf_dir), cut_lines(rows))
+
+
+def test_long_passages(spark, monkeypatch):
+    """A copy of a text with more different words than there are characters to code them, and passages cut to pieces at every length."""
+    words = [f"w{i}" for i in range(1_200_000)]
+    rows = [(1, " ".join(words)), (2, "before " + " ".join(words) + " after")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in phrases.dedup_phrases(frame(spark, rows)).collect()}
+    assert got == {1: (1_200_000, 0), 2: (1_200_002, 1_200_000)}
+    for most in range(13, 40):
+        first, at, length = phrases.pieces(np.array([7, 8]), np.array([3, 0]), np.array([61, 13]), 13, most)
+        windows = [(f, a + k) for f, a, n in zip(first, at, length, strict=True) for k in range(n - 12)]
+        assert sorted(windows) == [(7, 3 + k) for k in range(49)] + [(8, 0)] and max(length) <= most
