@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,6 +112,28 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return move
 
 
+Table = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def automaton_table(symbols: np.ndarray, width: int) -> Table:
+    """A sample's automaton as arrays: the states that the start leads to by each of ``width`` letters, and ``_packed``."""
+    move = suffix_automaton(symbols.tolist())
+    begin = np.zeros(width, np.int32)
+    for c, q in move[0].items():
+        begin[c] = q
+    return begin, *_packed(move, width)
+
+
+def coded(samples: Iterable[tuple[str, str]]) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
+    """The samples that have letters as numbers of their letters, the number of each code point, and how many there are."""
+    texts = {lang: letters(text) for lang, text in samples}
+    known = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts.values()]))
+    # 0 is the gap, the last one any letter that no sample has
+    code = np.full(0x110000, len(known), np.int32)
+    code[known] = np.arange(len(known), dtype=np.int32)
+    return {lang: code[texts[lang]] for lang in sorted(texts) if len(texts[lang])}, code, len(known) + 1
+
+
 class Parser:
     """Counts, for many texts at once, the phrases that each language needs.
 
@@ -122,25 +144,22 @@ class Parser:
     at a time; when few are left, they go on one by one.
     """
 
-    def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
-        texts = {lang: letters(text) for lang, text in samples}
-        self.langs = sorted(lang for lang, x in texts.items() if len(x))
-        known = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts.values()]))
-        # 0 is the gap, the last one any letter that no sample has
-        self.code = np.full(0x110000, len(known), np.int32)
-        self.code[known] = np.arange(len(known), dtype=np.int32)
-        width = len(known) + 1
-        moves: list[dict[int, int]] = [{}]  # state 0 follows a letter that the sample lacks: all else begins a phrase
-        self.begin = np.zeros((width, len(self.langs)), np.int32)
-        self.weights = np.zeros(len(self.langs))
-        for k, lang in enumerate(self.langs):
-            own = suffix_automaton(self.code[texts[lang]].tolist())
-            first = len(moves)
-            for c, q in own[0].items():
-                self.begin[c, k] = first + q
-            moves += [{c: first + q for c, q in ways.items()} for ways in own]
-            self.weights[k] = math.log2(len(texts[lang]) + 1)
-        self.base, self.owner, self.to = _packed(moves, width)
+    def __init__(self, samples: Iterable[tuple[str, str]], tables: Mapping[str, Table] | None = None) -> None:
+        texts, self.code, width = coded(samples)
+        self.langs = list(texts)
+        self.begin = np.zeros((width, len(texts)), np.int32)
+        self.weights = np.array([math.log2(len(x) + 1) for x in texts.values()])
+        # state 0 follows a letter that the sample lacks: all else begins a phrase; a table's first places are free
+        bases, owners, nexts = [np.zeros(1, np.int32)], [np.full(width, -1, np.int32)], [np.zeros(width, np.int32)]
+        states, places = 1, width
+        for k, (lang, x) in enumerate(texts.items()):
+            begin, base, owner, to = tables[lang] if tables else automaton_table(x, width)
+            self.begin[:, k] = np.where(begin > 0, begin + states, 0)
+            bases.append(base + places)
+            owners.append(np.where(owner >= 0, owner + states, -1))
+            nexts.append(to + states)
+            states, places = states + len(base), places + len(owner)
+        self.base, self.owner, self.to = (np.concatenate(x).astype(np.int32) for x in (bases, owners, nexts))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Rows of texts, columns of languages: the number of phrases."""
@@ -238,10 +257,21 @@ def _packed(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.nda
     return np.array(base, np.int32), np.array(owner[: high + width], np.int32), np.array(to[: high + width], np.int32)
 
 
-@cache
-def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    """One for each worker: only the sample text travels."""
-    return Parser(samples)
+def parser(spark: SparkSession, samples: Mapping[str, str]) -> Parser:
+    """The automata of all languages, each built once, by a task of its own: some 3 MB a language come back to the driver."""
+    texts, _, width = coded(samples.items())
+    if not texts:
+        return Parser(samples.items())
+
+    def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for lang, symbols in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                table = automaton_table(np.frombuffer(symbols, np.int32), width)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), *(pa.array([x.astype(np.int32).tobytes()]) for x in table)], ["lang", "begin", "base", "owner", "to"])
+
+    rows = spark.createDataFrame([(lang, x.tobytes()) for lang, x in texts.items()], "lang string, symbols binary").repartition(len(texts), "lang")
+    built = rows.mapInArrow(build, "lang string, begin binary, base binary, owner binary, to binary").collect()
+    return Parser(samples.items(), {r["lang"]: tuple(np.frombuffer(r[c], np.int32) for c in ("begin", "base", "owner", "to")) for r in built})
 
 
 def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
@@ -253,11 +283,11 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -
     text if no sample has letters; if there is one language, it has all other texts with score 1.  Rows are
     independent: repeated rows get the same answer and an empty table an empty result.
     """
-    known = tuple(sorted(samples.items()))
     schema = docs.schema
+    held = docs.sparkSession.sparkContext.broadcast(parser(docs.sparkSession, samples))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = parser(known)
+        p = held.value
         for part in parts:
             for at in range(0, part.num_rows, SIDE):
                 few = part.slice(at, SIDE)
