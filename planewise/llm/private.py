@@ -104,15 +104,53 @@ def _card(key: str) -> str:
     return _let(digits, "n", f"array_join(transform(sequence(1, char_length(m)), i -> if(substr(m, i, 1) between '0' and '9', substr(n, {place}, 1), substr(m, i, 1))), '')")
 
 
-def _name(key: str) -> str:
-    """Title and script stay; a known given name becomes another of its list, so of its gender; others stay pronounceable."""
+def _listed(x: str) -> str:
+    return f"array_contains(array({', '.join(_quoted(n) for names in GIVEN for n in names)}), {x})"
+
+
+def _word(key: str) -> str:
+    """Surrogate of a word ``w`` of a name: a known given name becomes another of its list, so of its gender; others stay pronounceable.
+
+    A word that the cipher makes a given name is enciphered again, until it is none: so the other words keep
+    to themselves as the given names do, and two words never get one surrogate.
+    """
     cases = []
     for k, names in enumerate(GIVEN):
         own = f"array({', '.join(map(_quoted, names))})"
         turn = f"{_number(key, f'given{k}', _quoted(''))} % {len(names) - 1} + 1"
         cases.append(f"when array_contains({own}, w) then element_at({own}, cast((array_position({own}, w) - 1 + {turn}) % {len(names)} + 1 as int))")
-    titles = f"regexp_like(w, '^(?:{TITLES})[.]?$')"
-    return f"array_join(transform(split(m, ' '), w -> case when {titles} then w {' '.join(cases)} else {_cipher('w', key, 'name', SPOKEN)} end), ' ')"
+    most = sum(map(len, GIVEN))  # given names that can follow each other at most
+    on = f"aggregate(slice(sequence(1, {most}), 1, if({_listed('z')}, {most}, 0)), z, (y, j) -> if({_listed('y')}, {_cipher('y', key, 'name', SPOKEN)}, y))"
+    return f"case {' '.join(cases)} else {_let(_cipher('w', key, 'name', SPOKEN), 'z', on)} end"
+
+
+def _title(w: str) -> str:
+    return f"regexp_like({w}, '^(?:{TITLES})[.]?$')"
+
+
+def _name(key: str) -> str:
+    """Titles stay, each other word has its surrogate."""
+    return f"array_join(transform(split(m, ' '), w -> case when {_title('w')} then w else {_word(key)} end), ' ')"
+
+
+#: Kinds of entities other than names.
+_KINDS = (_SECRET, _EMAIL, _IBAN, _IP, _CARD, _PHONE, _NUMBER)
+
+
+def _named() -> str:
+    """SQL for whether an entity ``m`` is a name: it is of no other kind."""
+    return " and ".join(f"not regexp_like(m, {_quoted('^(?:' + p + ')$')})" for p in _KINDS)
+
+
+def _atoms() -> str:
+    """SQL for what is mapped of an entity ``m``: each word of a name that is no title, with ``w`` before it, else all of it, with ``m``."""
+    words = f"transform(filter(split(m, ' '), w -> not {_title('w')}), w -> concat('w', w))"
+    return f"if({_named()}, {words}, array(concat('m', m)))"
+
+
+def _of_atom(key: str) -> str:
+    """SQL for the surrogate of an atom ``a``, itself an atom."""
+    return f"if(left(a, 1) = 'w', concat('w', {_let('substr(a, 2)', 'w', _word(key))}), concat('m', {_let('substr(a, 2)', 'm', _surrogate(key))}))"
 
 
 def _surrogate(key: str) -> str:
@@ -141,18 +179,19 @@ def _surrogate(key: str) -> str:
 
 
 def _longer(key: str, k: int) -> str:
-    """SQL for a surrogate of ``m`` beyond its format: ``k`` further parts of a name or mailbox, else a number behind it.
+    """SQL for a surrogate of an atom ``a`` beyond its format: ``k`` further parts of a name or mailbox, else a number behind it.
 
     An address gets four octets of three digits in the first ten rounds.  Not one-to-one by itself.
     """
-    name = f"concat(a, repeat(lower(regexp_extract({_surrogate(f'{key}/part{k}')}, '[^ -]+$', 0)), {k}))"
-    email = f"concat(repeat(substring_index({_surrogate(f'{key}/part{k}')}, '@', 1), {k}), a)"
+    name = f"concat('w', {_word(f'{key}/longer{k}')}, repeat(lower(regexp_extract({_word(f'{key}/part{k}')}, '[^ -]+$', 0)), {k}))"
+    email = f"concat(repeat(substring_index({_surrogate(f'{key}/part{k}')}, '@', 1), {k}), b)"
     octets = ", ".join(f"cast(100 + {_number(key, f'octet{k}.{i}', 'm')} % 156 as string)" for i in range(4))
     ip = f"concat_ws('.', {octets})"
-    number = f"concat(a, '-', lpad(cast({_number(key, f'behind{k}', 'm')} as string), 10, '0'))"
+    number = f"concat(b, '-', lpad(cast({_number(key, f'behind{k}', 'm')} as string), 10, '0'))"
     kinds = [(_SECRET, number), (_EMAIL, email), (_IBAN, number), (_IP, ip if k <= 10 else number), (_CARD, number), (_PHONE, number), (_NUMBER, number)]
     cases = " ".join(f"when regexp_like(m, {_quoted('^(?:' + pattern + ')$')}) then {body}" for pattern, body in kinds)
-    return _let(_surrogate(f"{key}/longer{k}"), "a", f"case {cases} else {name} end")
+    other = _let("substr(a, 2)", "m", _let(_surrogate(f"{key}/longer{k}"), "b", f"concat('m', case {cases} else b end)"))
+    return f"if(left(a, 1) = 'w', {_let('substr(a, 2)', 'w', name)}, {other})"
 
 
 def _close(found: str) -> str:
@@ -170,12 +209,12 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     after a title, a known given name or words that introduce one; then, within the same text, every mention of a word of
     these names or of a mailbox of two words, so that a person named in full is not left in clear by surname later on.
     Names without any of these signs are not found.  ``key`` is a secret of the caller's.  A surrogate follows from the key and the entity alone, so
-    mentions of one entity stay mentions of one, in all documents; the map is one-to-one, so different
-    entities stay different.  It keeps the format: separators, lengths, scripts and case, check digits, the number
+    mentions of one entity stay mentions of one, in all documents.  What is mapped is each word of a name but its title, and every other
+    entity as a whole; the map is one-to-one, so different entities stay different, and a name's parts follow it wherever they stand.  It keeps the format: separators, lengths, scripts and case, check digits, the number
     of digits of an octet, country codes, top-level domains, titles, and the gender of known given names.
 
-    A surrogate that is itself an entity of the corpus would expose that one.  Such cases are looked for over all
-    distinct entities of all texts; they get the map of another key, then of a third and so on, until the result is neither
+    A surrogate that is itself an entity, or a word of a name, of the corpus would expose that one.  Such cases, and any two that share a
+    surrogate, are looked for over all distinct ones of all texts; they get the map of another key, then of a third and so on, until the result is neither
     an entity nor the surrogate of another one.  After ``max_rounds`` of them, as where the corpus fills all
     values of a short format, the format gives way: the surrogate grows, by one more part each round.  A text that is null stays null; texts without entities are unchanged; repeated
     rows and null ids keep a row each; an empty table gives an empty result; further columns are not read.
@@ -189,30 +228,35 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     found = F.expr(_let(f"regexp_extract_all(body, {_quoted(ENTITY)}, 0)", "f", _let(_close("f"), "c", again)))
     none = F.struct(F.array().cast("array<string>").alias("found"), F.lit(ENTITY).alias("pattern"))
     rows = rows.withColumn("x", F.when(hinted, found).otherwise(none)).select("doc_id", "body", "x.found", "x.pattern")
-    surrogate = _surrogate(key)
+    # what is mapped are words of names and other entities, so that all mentions of a word move together
     # an outer explode adds no filter that would search the texts once more
     entities = rows.select(F.explode_outer("found").alias("m")).where("m is not null").distinct()
-    entities = checkpoint(entities.selectExpr("m", f"{surrogate} as s"))
-    taken = entities.select("m").unionByName(entities.select(F.col("s").alias("m"))).withColumnRenamed("m", "s")
+    atoms = entities.select(F.explode(F.expr(_atoms())).alias("a")).distinct()
+    atoms = checkpoint(atoms.selectExpr("a", f"{_of_atom(key)} as s"))
+    taken = atoms.select(F.col("a").alias("s")).unionByName(atoms.select("s"))
     walked = None
-    open_ = checkpoint(entities.join(entities.select(F.col("m").alias("s")), "s", "left_semi").select("m"))
+    # those whose surrogate is one of them, and of those with one surrogate all but the least
+    least = atoms.groupBy("s").agg(F.min("a").alias("least")).join(atoms.select(F.col("a").alias("s"), F.lit(True).alias("met")), "s", "left")
+    open_ = checkpoint(atoms.join(least, "s").where("met or a <> least").select("a"))
     turn = 0
     while not open_.isEmpty():
         turn += 1
-        again = _surrogate(f"{key}/again{turn}") if turn <= max_rounds else _longer(key, turn - max_rounds)
+        again = _of_atom(f"{key}/again{turn}") if turn <= max_rounds else _longer(key, turn - max_rounds)
         # of those that get the same one, the least keeps it
-        free = open_.selectExpr("m", f"{again} as s").groupBy("s").agg(F.min("m").alias("m")).join(taken, "s", "left_anti")
-        done = checkpoint(free.select("m", "s"))
+        free = open_.selectExpr("a", f"{again} as s").groupBy("s").agg(F.min("a").alias("a")).join(taken, "s", "left_anti")
+        done = checkpoint(free.select("a", "s"))
         walked = done if walked is None else walked.unionByName(done)
         taken = taken.unionByName(done.select("s"))
-        open_ = checkpoint(open_.join(done, "m", "left_anti"))
-    given = f"transform(found, m -> {surrogate})"
+        open_ = checkpoint(open_.join(done, "a", "left_anti"))
+    given = f"transform(found, m -> {_surrogate(key)})"
     if walked is not None:
-        # rows that hold such an entity get the list of exceptions that they need
-        own = rows.where("size(found) > 0").select(F.xxhash64("body").alias("h"), F.explode(F.array_distinct("found")).alias("m"))
-        extra = own.distinct().join(walked, "m").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("m", "s"))).alias("extra"))
+        # rows that hold such an atom get the list of exceptions that they need
+        own = rows.where("size(found) > 0").select(F.xxhash64("body").alias("h"), F.explode(F.array_distinct(F.expr(f"flatten(transform(found, m -> {_atoms()}))"))).alias("a"))
+        extra = own.distinct().join(walked, "a").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("a", "s"))).alias("extra"))
         rows = rows.withColumn("h", F.xxhash64("body")).join(extra, "h", "left")
-        given = f"transform(found, m -> coalesce(extra[m], {surrogate}))"
+        words = f"array_join(transform(split(m, ' '), w -> case when {_title('w')} then w else coalesce(substr(extra[concat('w', w)], 2), {_word(key)}) end), ' ')"
+        changed = f"transform(found, m -> if({_named()}, {words}, coalesce(substr(extra[concat('m', m)], 2), {_surrogate(key)})))"
+        given = f"if(extra is null, {given}, {changed})"
     between = F.expr("split(body, pattern, -1)")
     text = F.array_join(F.zip_with(between, F.concat(F.expr(given), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return rows.select("doc_id", F.when(F.size("found") > 0, text).otherwise(F.col("body")).alias("text"), F.size("found").cast("long").alias("n_entities"))

@@ -66,3 +66,35 @@ def test_a_key_is_asked_for(spark):
 
     with pytest.raises(TypeError):
         private.replace_private(spark.createDataFrame([], "doc_id long, text string"))
+
+
+def test_no_two_names_become_one(spark):
+    """All names of a pattern and all listed given names: the cipher's words stay clear of the lists."""
+    words = ["".join(x) for x in itertools.product("BCDFGHJKLMNPQRSTVWXYZ", "aeiou", "bcdfghjklmnpqrstvwxyz", "aeiou")]
+    words += [n for names in private.GIVEN for n in names]
+    table = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "w string").repartition(4)
+    for key in ("k", "another"):
+        got = {r.w: r.s for r in table.selectExpr("w", f"{private._word(key)} as s").collect()}
+        assert len(set(got.values())) == len(got)
+        assert all((got[w] in names) == (w in names) for w in got for names in private.GIVEN)
+    some = [f"Dr {w}" for w in words[-80:]] + [f"Dr {w}" for w in words[:300]]
+    both = replaced(spark, some)
+    assert len(set(both)) == len(set(some)) and not set(both) & set(some)
+
+
+def test_a_person_keeps_one_name(spark):
+    """A surname whose surrogate is another person's of the corpus: all its mentions move on together."""
+    (s,) = [r.s for r in spark.createDataFrame([("Smith",)], "w string").selectExpr(f"{private._word('k')} as s").collect()]
+    texts = ["Dr Smith came. Later Smith left.", f"Dr {s} is here.", "Prof Smith and Dr Jane Smith."]
+    got = replaced(spark, texts)
+    new = got[0].split()[1]
+    assert got[0] == f"Dr {new} came. Later {new} left." and new not in ("Smith", s)
+    assert s not in got[1] and got[1].startswith("Dr ") and new not in got[1]
+    assert got[2].split()[1] == new and got[2].split()[-1] == f"{new}."
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "no data here " * 200_000 + "Dr Smith", 1, "x"), (2, None, 1, "x"), (None, "", 1, "x"), (None, "a@b.com", 1, "x"), (None, "a@b.com", 1, "x")], "doc_id long, text string, found int, m string")
+    got = private.replace_private(rows, "k").collect()
+    assert sorted(r.n_entities for r in got) == [0, 0, 1, 1, 1]
+    assert len({r.text for r in got if r.text and "@" in r.text}) == 1
