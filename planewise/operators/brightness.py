@@ -176,6 +176,13 @@ def summarise_pooled(hist: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame
     return group_stats(hist, keys)
 
 
+def summarise_levels(hist: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """By plane and over all planes at once, with ``all_planes`` true and -1 as ``z``: the histogram is read once for both."""
+    by_bin = (*keys, "masked", "bin", "lo", "width")
+    both = hist.groupingSets([[*by_bin, "z"], [*by_bin]], *by_bin, "z").agg(F.sum("n").alias("n"), (F.grouping("z") == 1).alias("all_planes"))
+    return group_stats(both.withColumn("z", F.coalesce("z", F.lit(-1))), (*keys, "z", "all_planes"))
+
+
 def brightness_stats(hist: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The pooled statistics that are scored, with the overlap rates of both groups."""
     iqr = F.col("p75_unmasked") - F.col("p25_unmasked")

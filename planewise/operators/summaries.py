@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planewise.functions.columns import KEYS, ratio
@@ -77,10 +77,24 @@ def worst_profiles(areas: DataFrame, masks: DataFrame, column: str, n: int = 10,
 
 def volume_summary(spans: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One row for each volume: labels, share on several planes, mean and largest span, and gapped labels."""
-    return spans.groupBy(*keys).agg(
+    return spans.groupBy(*keys).agg(*_volume_sums())
+
+
+def _volume_sums() -> list[Column]:
+    return [
         F.count("*").alias("n_labels"), (100.0 * F.avg((F.col("z_span") > 1).cast("double"))).alias("pct_multi_layer"),
         F.avg("z_span").alias("mean_z_span"), F.max("z_span").alias("max_z_span"), F.count_if("has_z_gap").alias("n_with_z_gaps"),
-    )
+    ]
+
+
+def volume_levels(spans: DataFrame, levels: tuple[tuple[str, ...], ...] = (KEYS, ("region", "method"), ("method",))) -> DataFrame:
+    """``volume_summary`` for every one of the ``levels``, each a tuple of columns, from one read of the spans.
+
+    ``level`` names the columns of a row; the others are null in it.
+    """
+    columns = list(dict.fromkeys(c for cs in levels for c in cs))
+    kept = F.concat_ws("/", *(F.when(F.grouping(c) == 0, F.lit(c)) for c in columns))
+    return spans.groupingSets([list(cs) for cs in levels], *columns).agg(kept.alias("level"), *_volume_sums())
 
 
 def section_areas(voxels: DataFrame, n_sections: int, column: str = "y", keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -242,6 +242,14 @@ def stats_by_z(s, d):
     return B.summarise_by_z(_hist(s, d))
 
 
+_levels = Q.query([*HIST, *Q.group_stats("hist", K)], "select *, -1 as z from stats", STATS_FLOATS, "z n_pixels n_masked")
+
+
+@query(f"select *, false as all_planes from ({SQL['stats_by_z']}) a union all by name select *, true as all_planes from ({_levels}) b")
+def stats_levels(s, d):
+    return B.summarise_levels(_hist(s, d))
+
+
 @query(Q.query([*FINE, *Q.group_stats("hist", K)], "select * from stats", STATS_FLOATS, "n_pixels n_masked"))
 def stats_pooled(s, d):
     return B.summarise_pooled(_hist(s, d, "float"))
@@ -631,6 +639,14 @@ def centroid_shift(s, d):
     return Z.centroid_shift(Z.thin_rate(_spans(s, d, MIXED)), "F", "O")
 
 
+_summed = "count(*) as n_labels, 100.0 * avg((z_span > 1)::int) as pct_multi_layer, avg(z_span) as mean_z_span, max(z_span) as max_z_span, count(*) filter (where has_z_gap) as n_with_z_gaps"
+
+
+@query(Q.query([Q.vox(MIXED), Q.AREAS, Q.spans()], f"select {K}, 'region/fov/method' as level, {_summed} from spans group by all union all by name select region, method, 'region/method' as level, {_summed} from spans group by all union all by name select method, 'method' as level, {_summed} from spans group by all", "pct_multi_layer mean_z_span", "n_labels max_z_span n_with_z_gaps"))
+def volume_levels(s, d):
+    return Z.volume_levels(_spans(s, d, MIXED))
+
+
 @query(Q.query([Q.vox(MIXED), Q.AREAS, Q.spans()], "select concat_ws('/', region, method) as variant, count(*) as n_labels, 100.0 * avg((z_span > 1)::int) as pct_multi_layer, avg(z_span) as mean_z_span, max(z_span) as max_z_span, count(*) filter (where has_z_gap) as n_with_z_gaps from spans group by all", "pct_multi_layer mean_z_span", "n_labels max_z_span n_with_z_gaps"))
 def variant_summary(s, d):
     return Z.variant_summary(_spans(s, d, MIXED), ("region", "method"))
