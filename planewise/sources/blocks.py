@@ -24,13 +24,18 @@ PAGE = "height int, width int, kind string, packing int, predictor int, tiled bo
 _PAGE = pa.schema([("height", pa.int32()), ("width", pa.int32()), ("kind", pa.string()), ("packing", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("across", pa.int32()), ("down", pa.int32()), ("offsets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
 
-def opened(path: str) -> pa.NativeFile:
-    """A file by its local path or by the address of a store, to be read from any place."""
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path, local or by the address of a store, and the name in it."""
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     if "://" not in path:
-        return pa.OSFile(path)
-    store, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file that can be read from any place."""
+    store, name = place(path)
     return store.open_input_file(name)
 
 
@@ -207,7 +212,7 @@ def listed(path: str, pattern: str | None = None) -> list[str]:
         if os.path.isdir(path):
             return sorted(glob.glob(f"{glob.escape(path)}/**/{pattern or '*'}", recursive=True))
         return sorted(glob.glob(path))
-    store, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    store, name = place(path)
     head = path[: len(path) - len(name)] if path.endswith(name) else ""
     info = store.get_file_info(name)
     if info.type == fs.FileType.Directory:
@@ -234,6 +239,11 @@ class Volumes(D.DataSource):
     def reader(self, schema: object) -> VolumeReader:
         return VolumeReader(dict(self.options))
 
+    def writer(self, schema: object, overwrite: bool) -> D.DataSourceArrowWriter:
+        from planewise.sources.volumes import VolumeSink  # which reads scans by this module
+
+        return VolumeSink(self.options["path"], overwrite)
+
 
 def open_volumes(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """The blocks of the volumes at ``path``; registers the source, and lets filters reach it, in this session."""
