@@ -51,11 +51,11 @@ def _stacked(files: DataFrame) -> DataFrame:
     return files.withColumn("z", F.row_number().over(order) - 1)
 
 
-def _page(path: str = "path") -> F.Column:
+def page_struct(path: str = "path") -> F.Column:
     return F.struct(F.col(path).alias("path"), *_PAGES)
 
 
-def _slim(page: str, y: str, rows: str) -> F.Column:
+def slim_page(page: str, y: str, rows: str) -> F.Column:
     """A page with only the strips or tiles that some rows touch, beside the row at which those begin."""
     across, first, last = (f"cast(ceil({page}.width / {page}.across) as int)", f"cast(floor({y} / {page}.down) as int)", f"cast(ceil(least({page}.height, {y} + {rows}) / {page}.down) as int)")
     part = ", ".join(f"'{c}', slice({page}.{c}, {first} * {across} + 1, ({last} - {first}) * {across})" for c in ("offsets", "sizes"))
@@ -64,6 +64,11 @@ def _slim(page: str, y: str, rows: str) -> F.Column:
     return F.expr(f"if({page} is null, null, named_struct('height', {high}, {rest}, {part}, 'skip', cast({y} - {first} * {page}.down as int)))")
 
 
+def rows_of_block(page: str, target: int) -> F.Column:
+    """Rows of a block: whole strips or rows of tiles of about ``target`` bytes of pixels, one at least."""
+    return F.expr(f"cast(greatest(1, floor({target} / greatest(1, {page}.width * cast(substring({page}.kind, 3) as int) * {page}.down))) * {page}.down as int)")
+
+
 def paired_blocks(masks: DataFrame, planes: DataFrame | None, target: int = BLOCK_BYTES) -> DataFrame:
     """``region``, ``fov``, ``z``, ``y``, ``rows``, ``image`` and ``masks`` of each block of rows of each plane.
 
@@ -73,12 +78,12 @@ def paired_blocks(masks: DataFrame, planes: DataFrame | None, target: int = BLOC
     """
     keys = (*IMAGE, "z")
     labels = page_table(masks.select(*KEYS, "path"))
-    labels = labels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("method", _page().alias("page")))).alias("masks"))
+    labels = labels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("method", page_struct().alias("page")))).alias("masks"))
     if planes is None:
         table = labels.withColumn("image", F.expr("cast(null as struct<path string>)"))
     else:
         fields = page_table(planes.withColumnRenamed("z", "plane")).where("z = 0").drop("z").withColumnRenamed("plane", "z")
-        table = labels.join(fields.select(*keys, _page().alias("image")), list(keys), "full")
+        table = labels.join(fields.select(*keys, page_struct().alias("image")), list(keys), "full")
     table = written(table)
     # every technique of an image has all its planes, in one shape
     methods = table.select(*IMAGE, F.explode("masks.method").alias("method")).distinct().groupBy(*IMAGE).agg(F.count("*").alias("n"))
@@ -93,17 +98,17 @@ def paired_blocks(masks: DataFrame, planes: DataFrame | None, target: int = BLOC
     sized = table.where("masks is not null").withColumn("height", F.expr("masks[0].page.height"))
     sized = sized.withColumn("rows", F.expr(f"cast(greatest(1, floor({target} / greatest(1, {wide} * {down}))) * {down} as int)"))
     cut = sized.withColumn("y", F.explode(F.expr("sequence(0, greatest(height - 1, 0), rows)"))).withColumn("rows", F.expr("least(rows, height - y)"))
-    image = _slim("image", "y", "rows") if planes is not None else F.col("image")
+    image = slim_page("image", "y", "rows") if planes is not None else F.col("image")
     own = F.transform("masks", lambda m: F.struct(m["method"].alias("method"), m["page"].alias("page")))
     return cut.withColumn("image", image).withColumn("masks", own)
 
 
-def _pixels(files: Files, page: dict, y: int, rows: int) -> np.ndarray:
+def block_pixels(files: Files, page: dict, y: int, rows: int) -> np.ndarray:
     """The rows of a block; a page that was cut down to them begins at ``skip``."""
     return rows_of(files.fetch(page["path"]), page_of(page), page.get("skip", y), rows)
 
 
-def _areas(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def label_counts(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The labels of a block and how many voxels each has."""
     if pixels.dtype.kind in "ui" and pixels.size and 0 <= pixels.min() and pixels.max() < TABLED:
         counts = np.bincount(pixels.ravel())
@@ -124,11 +129,11 @@ def _measured(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in part.to_pylist():
             low = high = whole = None
             if r["image"] is not None:
-                light = _pixels(files, r["image"], r["y"], r["rows"])
+                light = block_pixels(files, r["image"], r["y"], r["rows"])
                 low, high = (float(light.min()), float(light.max())) if light.size else (None, None)
                 whole = bool(light.dtype.kind in "ui" or (light == np.floor(light)).all())
             for m in r["masks"]:
-                labels, areas = _areas(_pixels(files, m["page"], r["y"], r["rows"]))
+                labels, areas = label_counts(block_pixels(files, m["page"], r["y"], r["rows"]))
                 n = len(labels)
                 same = ((r["region"], pa.string()), (r["fov"], pa.string()), (m["method"], pa.string()))
                 ends = ((low, pa.float64()), (high, pa.float64()), (whole, pa.bool_()))
@@ -153,10 +158,10 @@ def _histograms(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["region", "fov", "method", "z", "masked", "bin", "lo", "width", "exact", "n"]
     for part in parts:
         for r in part.to_pylist():
-            bins, inside = _binned(_pixels(files, r["image"], r["y"], r["rows"]), r["lo"], r["width"], r["n_bins"], r["exact"])
+            bins, inside = _binned(block_pixels(files, r["image"], r["y"], r["rows"]), r["lo"], r["width"], r["n_bins"], r["exact"])
             gone = {g["method"]: g["labels"] for g in r["gone"] or []}
             for m in r["masks"]:
-                pixels = _pixels(files, m["page"], r["y"], r["rows"])
+                pixels = block_pixels(files, m["page"], r["y"], r["rows"])
                 masked = pixels > 0
                 if gone.get(m["method"]):
                     masked &= ~np.isin(pixels, np.array(gone[m["method"]], np.int64))

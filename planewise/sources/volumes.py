@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from planewise.functions.columns import IMAGE, KEYS
 from planewise.sources.blocks import Files, Volumes, place
-from planewise.sources.regions import BlockScan, _pixels
+from planewise.sources.regions import BlockScan, block_pixels
 
 #: What the sink takes: rows of a plane, in order, with all of a plane's rows in one task.
 BLOCKS = "name string, z int, y int, rows int, width int, height int, kind string, pixels binary"
@@ -178,7 +178,7 @@ def write_kept(scan: BlockScan, path: str, dropped: bool = False, overwrite: boo
         files = Files()
         for part in parts:
             for r in part.to_pylist():
-                pixels = _pixels(files, r["page"], r["y"], r["rows"])
+                pixels = block_pixels(files, r["page"], r["y"], r["rows"])
                 hit = np.isin(pixels, np.array(r["gone"] or [], np.int64))
                 pixels = np.where(hit == dropped, pixels, 0).astype(pixels.dtype.newbyteorder("<"))
                 row = (r["name"], r["z"], r["y"], r["rows"], pixels.shape[1], r["height"], pixels.dtype.str, pixels.tobytes())
