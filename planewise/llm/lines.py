@@ -29,7 +29,7 @@ def _keep(width: int) -> Column:
 def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, heavy: int = HEAVY) -> DataFrame:
     """Remove every line covered by a window of ``width`` lines that has occurred before.
 
-    Lines end at ``\\n``.  Two windows are the same if their lines are the same, character by character.  The
+    Lines end at ``\\n``.  Two windows are the same if their lines are: they are compared by 128 bits of hash.  The
     first occurrence, by id and then by line, stays; the lines of all later ones go, of those too that overlap
     it in its own document.  Windows are judged on the input, not on what is left.  Returns a struct ``row``
     of the input's columns, unchanged, with ``kept`` (the text that is left), ``n_lines`` and ``n_removed``.

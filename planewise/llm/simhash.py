@@ -92,7 +92,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are lower-cased in A-Z and split at ASCII white space; a bit of the fingerprint is 1 if it is set in
     over half of the XXH64 values of all ``width``-word shingles, repeats included.  Fingerprints link at two or
-    fewer differing bits; ``component_id`` is the smallest id reachable.  Copies share a fingerprint and are
+    fewer differing bits, found by one-wildcard variants of two segments where two fingerprints share a variant, and by those of the
+    whole fingerprint where more do; ``component_id`` is the smallest id reachable.  Copies share a fingerprint and are
     handled once.  ``fp_links`` counts the rows that share the row's fingerprint, itself included.
 
     A null or empty text has no words and the fingerprint zero, which links like any other.  Rows that repeat

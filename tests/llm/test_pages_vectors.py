@@ -55,7 +55,9 @@ def brute(rows, every, k):
     return out
 
 
-def test_recall(spark, sf_dir):
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_recall(spark, sf_dir, size):
+    sf_dir = f"{sf_dir.rsplit('/', 1)[0]}/{size}"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     want = brute(rows, 20, 20)
     got: dict = {}
