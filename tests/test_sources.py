@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planewise.operators.areas import plane_areas
 from planewise.sources import catalog as G
@@ -195,3 +196,11 @@ def test_csv_tables(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/cut_within").count() == 2
     with pytest.raises(Exception, match="exists"):
         tiff.write_tables(one, one, f"{tmp_path}/cut")
+
+
+def test_paths_of_planes_and_tables_on_the_screen(spark, capsys):
+    path = spark.range(1).select(G.fov_glob("/images/r1", F.lit("f1"), "DAPI_decon_z*.tif")).first()[0]
+    assert path == "/images/r1/f1/DAPI_decon_z*.tif"
+    tiff.print_tables(spark.range(3).withColumnRenamed("id", "within"), spark.range(5).withColumnRenamed("id", "across"), 2)
+    shown = capsys.readouterr().out
+    assert "within" in shown and "across" in shown and "only showing top 2 rows" in shown
