@@ -11,6 +11,15 @@ KEYS = ("region", "fov", "method")
 IMAGE = ("region", "fov")
 
 
+def labels_first(keys: tuple[str, ...]) -> list[str]:
+    """The keys of a label, the label before those of its segmentation.
+
+    Sorts of joins, windows and aggregates compare a whole number then; by ``region`` first, nearly all of their
+    comparisons would be of equal strings.
+    """
+    return ["label", *keys]
+
+
 def flag(value: Column, cutoff: Column | float) -> Column:
     """Strictly above the cutoff; what cannot be measured is not flagged."""
     return F.coalesce(value > cutoff, F.lit(False))

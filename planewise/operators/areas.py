@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planewise.functions.columns import KEYS, ratio
+from planewise.functions.columns import KEYS, labels_first, ratio
 from planewise.functions.constants import DEEP_MIN, LAYER_SPAN_CUTOFF, THIN_MAX
 
 
 def plane_areas(voxels: DataFrame, keys: tuple[str, ...] = KEYS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Voxels of each label on each plane (absent: 0); background left out.  Counts are combined before the shuffle."""
-    return voxels.where("label > 0").groupBy(*keys, "label", "z", *extra).agg(F.count("*").alias("area"))
+    counted = voxels.where("label > 0").groupBy(*labels_first(keys), "z", *extra).agg(F.count("*").alias("area"))
+    return counted.select(*keys, "label", "z", *extra, "area")
 
 
 def span_table(areas: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One row per label: extent in z, planes present, gaps, and statistics of the present areas."""
-    out = areas.where("area > 0").groupBy(*keys, "label").agg(
+    out = areas.where("area > 0").groupBy(*labels_first(keys)).agg(
         F.min("z").alias("z_start"), F.max("z").alias("z_end"), F.count("*").cast("int").alias("n_planes"),
         F.min("area").alias("area_min"), F.median("area").alias("area_median"), F.max("area").alias("area_max"), F.sum("area").alias("n_voxels"),
     )
     out = out.withColumn("z_span", (F.col("z_end") - F.col("z_start") + 1).cast("int"))
-    return out.withColumn("has_z_gap", F.col("n_planes") < F.col("z_span"))
+    out = out.withColumn("has_z_gap", F.col("n_planes") < F.col("z_span"))
+    return out.select(*keys, "label", *(c for c in out.columns if c not in labels_first(keys)))
 
 
 def check_z_span(areas: DataFrame, cutoff: int = LAYER_SPAN_CUTOFF, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -46,9 +48,15 @@ def single_slice(spans: DataFrame, drop: bool = True, drop_in: tuple[str, ...] |
 
 
 def drop_labels(voxels: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """The listed labels become background; no voxel and no other id changes."""
-    marked = voxels.join(labels.select(*keys, "label").withColumn("_hit", F.lit(True)), [*keys, "label"], "left")
-    return marked.withColumn("label", F.when(F.col("_hit"), F.lit(0).cast("long")).otherwise(F.col("label"))).select(*voxels.columns)
+    """The listed labels become background; no voxel and no other id changes.
+
+    What is background already is not joined: all of it would have one key for each segmentation, and be most of the rows.
+    """
+    is_background = F.coalesce(F.col("label") == 0, F.lit(True))
+    listed = labels.select(*labels_first(keys)).withColumn("_hit", F.lit(True))
+    marked = voxels.where(~is_background).join(listed, labels_first(keys), "left")
+    marked = marked.withColumn("label", F.when(F.col("_hit"), F.lit(0).cast("long")).otherwise(F.col("label"))).select(*voxels.columns)
+    return marked.unionByName(voxels.where(is_background))
 
 
 def keep_labels(voxels: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

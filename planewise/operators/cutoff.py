@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planewise.functions.columns import KEYS, ratio
+from planewise.functions.columns import KEYS, labels_first, ratio
 from planewise.functions.constants import BRIGHTNESS_CUTOFF, OVERLAP_QUANTILE
 from planewise.operators.brightness import auc, left_edge, overlap_layer, overlap_thresholds, vectorise_pixels
 
@@ -78,19 +78,25 @@ def _flags() -> Column:
 
 def flag_layers(voxels: DataFrame, masks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Voxels of flagged masks, once for each of the ``layer`` names thin, deep, z_gap, jitter and sway that the mask has."""
-    return voxels.where("label > 0").join(masks.select(*keys, "label", F.explode(_flags()).alias("layer")), [*keys, "label"])
+    flagged = masks.select(*labels_first(keys), _flags().alias("layers")).where(F.size("layers") > 0)
+    return voxels.where("label > 0").join(flagged, labels_first(keys)).select(*voxels.columns, F.explode("layers").alias("layer"))
 
 
 def defect_layers(voxels: DataFrame, masks: DataFrame, dropped: DataFrame, hist: DataFrame, quantile: float = OVERLAP_QUANTILE, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """All layers of a card in one pass over the voxels before the filter: the flags, ``dropped``, and the two by brightness.
+    """All layers of a card over the voxels before the filter: the flags, ``dropped``, and the two by brightness.
 
     ``masks`` are those the filter kept and ``hist`` was counted after it, so to the brightness layers a dropped label is
-    background.  An image without voxels of either kind has no brightness layers.
+    background.  An image without voxels of either kind has no brightness layers.  Only voxels of labels are joined with
+    marks: the background has one key for each segmentation, and no marks.
     """
-    marks = masks.select(*keys, "label", _flags().alias("marks"))
-    marks = marks.unionByName(dropped.select(*keys, "label", F.array(F.lit("dropped")).alias("marks")))
-    v = voxels.join(marks, [*keys, "label"], "left").join(overlap_thresholds(hist, quantile, keys), list(keys), "left")
-    v = v.withColumn("marks", F.coalesce("marks", F.array().cast("array<string>")))
-    v = v.withColumn("masked", (F.col("label") > 0) & ~F.array_contains("marks", "dropped"))
-    layers = F.array_compact(F.concat("marks", F.array(overlap_layer())))
+    marks = masks.select(*keys, "label", _flags().alias("marks"), F.lit(False).alias("_dropped")).where(F.size("marks") > 0)
+    marks = marks.unionByName(dropped.select(*keys, "label", F.array(F.lit("dropped")).alias("marks"), F.lit(True).alias("_dropped")))
+    none = F.array().cast("array<string>")
+    labelled = F.coalesce(F.col("label") > 0, F.lit(False))
+    marked = voxels.where(labelled).join(marks, labels_first(keys), "left")
+    marked = marked.select(*voxels.columns, F.coalesce("marks", none).alias("marks"), (~F.coalesce("_dropped", F.lit(False))).alias("masked"))
+    plain = voxels.where(~labelled).select(*voxels.columns, none.alias("marks"), (F.col("label") > 0).alias("masked"))
+    thresholds = overlap_thresholds(hist, quantile, keys)
+    v = marked.unionByName(plain).join(thresholds, list(keys), "left").withColumn("_bright", overlap_layer())
+    layers = F.when(F.col("_bright").isNull(), F.col("marks")).otherwise(F.concat("marks", F.array("_bright")))
     return v.select(*voxels.columns, F.explode(layers).alias("layer"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planewise.functions.columns import KEYS, first_of_largest, flag
+from planewise.functions.columns import KEYS, first_of_largest, flag, labels_first
 from planewise.functions.constants import AREA_FLOOR, CUTOFF_QUANTILE, JITTER_CUTOFF, SLIVER_FRAC, SWAY_CUTOFF
 from planewise.functions.storage import written
 from planewise.operators.selection import quantiles
@@ -13,7 +13,9 @@ from planewise.operators.selection import quantiles
 
 def kept_planes(areas: DataFrame, area_floor: float = AREA_FLOOR, sliver_frac: float = SLIVER_FRAC, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """All present planes with ``kept``: at least the floor, and at least a share of the label's largest plane."""
-    peak = F.max("area").over(Window.partitionBy(*keys, "label"))
+    # in the order of z, so that it is also that of the neighbours in ``profiles``, and planes are sorted once
+    whole = Window.partitionBy(*labels_first(keys)).orderBy("z").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    peak = F.max("area").over(whole)
     return areas.where("area > 0").withColumn("kept", (F.col("area") >= area_floor) & (F.col("area") >= sliver_frac * peak))
 
 
@@ -24,8 +26,8 @@ def profiles(areas: DataFrame, area_floor: float = AREA_FLOOR, sliver_frac: floa
     shallower limb of every reversal; both are null where there is no triple, and places are then -1.
     """
     planes = kept_planes(areas, area_floor, sliver_frac, keys)
-    # planes that are not kept sort behind all others, so that neighbours among the kept are neighbours here
-    w = Window.partitionBy(*keys, "label").orderBy(F.col("kept").desc(), "z")
+    # a label has one row for each plane, so an adjacent plane, if it is present, is the row beside
+    w = Window.partitionBy(*labels_first(keys)).orderBy("z")
     log = F.log10(F.col("area").cast("double"))
 
     def beside(step: int) -> F.Column:
@@ -38,7 +40,7 @@ def profiles(areas: DataFrame, area_floor: float = AREA_FLOOR, sliver_frac: floa
     turned = F.signum(d0) * F.signum(d1) < 0
     steps = steps.withColumn("depth", F.when(turned, F.least(F.abs(d0), F.abs(d1))))
     measured = F.count("corner") > 0
-    return steps.groupBy(*keys, "label").agg(
+    out = steps.groupBy(*labels_first(keys)).agg(
         F.count("*").cast("int").alias("n_planes"),
         F.count_if("kept").cast("int").alias("n_planes_used"),
         F.min("area").alias("area_min"),
@@ -49,6 +51,7 @@ def profiles(areas: DataFrame, area_floor: float = AREA_FLOOR, sliver_frac: floa
         F.when(measured, F.pow(F.lit(10.0), F.max("corner"))).alias("sway"),
         F.when(measured, first_of_largest(F.coalesce("corner", F.lit(-1.0)), F.col("z"))).otherwise(-1).cast("int").alias("z_at_sway"),
     )
+    return out.select(*keys, "label", *(c for c in out.columns if c not in labels_first(keys)))
 
 
 def flag_metric(table: DataFrame, column: str, cutoff: float | None, quantile: float = CUTOFF_QUANTILE) -> DataFrame:
@@ -79,5 +82,6 @@ def analyse_masks(areas: DataFrame, column: str = "sway", cutoff: float | None =
 def mask_table(spans: DataFrame, profile: DataFrame, jitter_cutoff: float = JITTER_CUTOFF, sway_cutoff: float = SWAY_CUTOFF, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Spans with both profile metrics and their flags."""
     own = profile.select(*keys, "label", "n_planes_used", "n_reversals", "jitter", "z_at_jitter", "sway", "z_at_sway")
-    out = spans.join(own, [*keys, "label"], "left")
+    out = spans.join(own, labels_first(keys), "left")
+    out = out.select(*spans.columns, *(c for c in own.columns if c not in labels_first(keys)))
     return out.withColumn("large_jitter", flag(F.col("jitter"), jitter_cutoff)).withColumn("large_sway", flag(F.col("sway"), sway_cutoff))

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.functions.columns import IMAGE, KEYS, ratio
+from planewise.functions.columns import IMAGE, KEYS, labels_first, ratio
 from planewise.functions.constants import AREA_FLOOR, JITTER_CUTOFF, SCORE_WEIGHTS, SLIVER_FRAC, SWAY_CUTOFF
 from planewise.functions.storage import written
 from planewise.operators import areas as A
@@ -31,7 +31,8 @@ class Scan:
     @cached_property
     def planes(self) -> DataFrame:
         """Voxels and brightness range of every label, background included, on every plane."""
-        return written(self.voxels.groupBy(*self.keys, "label", "z").agg(F.count("*").alias("area"), *B.ends()))
+        planes = self.voxels.groupBy(*labels_first(self.keys), "z").agg(F.count("*").alias("area"), *B.ends())
+        return written(planes.select(*self.keys, "label", "z", "area", "low", "high", "whole"))
 
     @cached_property
     def areas(self) -> DataFrame:
@@ -44,8 +45,8 @@ class Scan:
 
     @cached_property
     def dropped(self) -> DataFrame:
-        """Labels that the filter makes background."""
-        return A.single_slice(self.spans, self.drop, self.drop_in, self.keys)
+        """Labels that the filter makes background, written once: where they are few, joins with voxels broadcast the file."""
+        return written(A.single_slice(self.spans, self.drop, self.drop_in, self.keys))
 
     @cached_property
     def filters(self) -> DataFrame:
