@@ -47,16 +47,17 @@ def single_slice(spans: DataFrame, drop: bool = True, drop_in: tuple[str, ...] |
     return spans.where((F.col("z_span") == 1) & applies(drop_in, drop)).select(*keys, "label")
 
 
-def drop_labels(voxels: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def drop_labels(voxels: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS, few: bool = False) -> DataFrame:
     """The listed labels become background; no voxel and no other id changes.
 
     What is background already is not joined: all of it would have one key for each segmentation, and be most of the rows.
+    ``few`` labels are sent to all tasks instead, and voxels are read once.
     """
     is_background = F.coalesce(F.col("label") == 0, F.lit(True))
     listed = labels.select(*labels_first(keys)).withColumn("_hit", F.lit(True))
-    marked = voxels.where(~is_background).join(listed, labels_first(keys), "left")
+    marked = voxels.join(F.broadcast(listed), labels_first(keys), "left") if few else voxels.where(~is_background).join(listed, labels_first(keys), "left")
     marked = marked.withColumn("label", F.when(F.col("_hit"), F.lit(0).cast("long")).otherwise(F.col("label"))).select(*voxels.columns)
-    return marked.unionByName(voxels.where(is_background))
+    return marked if few else marked.unionByName(voxels.where(is_background))
 
 
 def keep_labels(voxels: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -17,22 +17,39 @@ from planewise.operators import brightness as B
 from planewise.operators import profile as P
 
 
+#: Dropped labels that are sent to all tasks: about what Spark sends of a file of 10 MB.
+FEW_DROPPED = 1_500_000
+
+
 class Scan:
     """What a scan yields, for all fields and techniques at once; each table is derived on first use and then kept.
 
-    Voxels are read twice: for the areas, with each image's range of brightness, and for the histograms, whose bins depend
-    on the range and whose masked voxels depend on the filter.  Both tables are small beside the voxels and
-    written once; everything else is derived from them.
+    Voxels are read twice: for the labels, with the range of brightness, and for the histograms, whose bins depend on each image's
+    range and whose masked voxels depend on the filter.  Both tables are small beside the voxels and written once; metrics,
+    filter and statistics are derived from them.  The table of planes is for what lists masks, and written when asked for.
     """
 
     def __init__(self, voxels: DataFrame, area_floor: float = AREA_FLOOR, sliver_frac: float = SLIVER_FRAC, drop: bool = True, drop_in: tuple[str, ...] | None = None, keys: tuple[str, ...] = KEYS) -> None:
         self.voxels, self.area_floor, self.sliver_frac, self.drop, self.drop_in, self.keys = voxels, area_floor, sliver_frac, drop, drop_in, keys
 
-    @cached_property
-    def planes(self) -> DataFrame:
+    def counted(self) -> DataFrame:
         """Voxels and brightness range of every label, background included, on every plane."""
         planes = self.voxels.groupBy(*labels_first(self.keys), "z").agg(F.count("*").alias("area"), *B.ends())
-        return written(planes.select(*self.keys, "label", "z", "area", "low", "high", "whole"))
+        return planes.select(*self.keys, "label", "z", "area", "low", "high", "whole")
+
+    @cached_property
+    def planes(self) -> DataFrame:
+        return written(self.counted())
+
+    @cached_property
+    def all_labels(self) -> DataFrame:
+        """A row for each label, background included, from one pass over its planes."""
+        return written(P.measured_labels(self.counted(), self.area_floor, self.sliver_frac, self.keys))
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        """Extent, profile and gaps of each label, before the filter."""
+        return self.all_labels.where("label > 0").drop("low", "high", "whole")
 
     @cached_property
     def areas(self) -> DataFrame:
@@ -46,23 +63,36 @@ class Scan:
     @cached_property
     def dropped(self) -> DataFrame:
         """Labels that the filter makes background, written once: where they are few, joins with voxels broadcast the file."""
-        return written(A.single_slice(self.spans, self.drop, self.drop_in, self.keys))
+        return written(A.single_slice(self.labels, self.drop, self.drop_in, self.keys))
 
     @cached_property
     def filters(self) -> DataFrame:
-        return A.filter_report(self.spans, self.drop, self.drop_in, self.keys)
+        return A.filter_report(self.labels, self.drop, self.drop_in, self.keys)
+
+    def kept(self, spans: DataFrame) -> DataFrame:
+        """Labels that the filter leaves."""
+        return spans.where((F.col("z_span") > 1) | ~F.coalesce(A.applies(self.drop_in, self.drop), F.lit(False)))
+
+    @cached_property
+    def measures(self) -> DataFrame:
+        """The kept masks with what metrics, cards and layers need of ``masks``, without another pass over the planes."""
+        return P.flagged(A.thin_and_deep(self.kept(self.labels)), JITTER_CUTOFF, SWAY_CUTOFF)
 
     @cached_property
     def masks(self) -> DataFrame:
         """A row for each kept mask, measured and flagged.  The filter takes whole labels, so what is kept measures as before it."""
-        kept = self.spans.where((F.col("z_span") > 1) | ~F.coalesce(A.applies(self.drop_in, self.drop), F.lit(False)))
-        return P.mask_table(A.thin_and_deep(kept), P.profiles(self.areas, self.area_floor, self.sliver_frac, self.keys), JITTER_CUTOFF, SWAY_CUTOFF, self.keys)
+        return P.mask_table(A.thin_and_deep(self.kept(self.spans)), P.profiles(self.areas, self.area_floor, self.sliver_frac, self.keys), JITTER_CUTOFF, SWAY_CUTOFF, self.keys)
+
+    @property
+    def edges(self) -> DataFrame:
+        """The bins of each image."""
+        return B.edges_of(self.all_labels.groupBy(*IMAGE).agg(*B.ends("low", "high", "whole")))
 
     @cached_property
     def hist(self) -> DataFrame:
         """Brightness by plane; removed voxels have joined the unmasked ones."""
-        edges = B.edges_of(self.planes.groupBy(*IMAGE).agg(*B.ends("low", "high", "whole")))
-        return written(B.histograms(A.drop_labels(self.voxels, self.dropped, self.keys), edges, self.keys))
+        few = self.dropped.count() <= FEW_DROPPED
+        return written(B.histograms(A.drop_labels(self.voxels, self.dropped, self.keys, few), self.edges, self.keys))
 
     @cached_property
     def brightness(self) -> DataFrame:
@@ -109,7 +139,7 @@ def score_fovs(metrics: DataFrame, weights: Mapping[str, float] | None = None, k
 def scorecard(voxels: DataFrame, weights: Mapping[str, float] | None = None, with_brightness: bool = True) -> DataFrame:
     """From voxels to scores."""
     s = scan(voxels)
-    return score_fovs(fov_metrics(s.masks, s.brightness if with_brightness else None, s.filters), weights)
+    return score_fovs(fov_metrics(s.measures, s.brightness if with_brightness else None, s.filters), weights)
 
 
 def region_cards(scores: DataFrame) -> dict[str, DataFrame]:

@@ -334,7 +334,7 @@ _flags = " union all ".join(f"select {K}, label, '{n}' as layer from masks where
 
 @query(Q.query([*MASKS, Q.stage("flags", _flags)], f"select {K}, layer, count(*) as n from vox join flags using ({K}, label) group by all", "", "n"))
 def flag_layers(s, d):
-    return X.flag_layers(voxels(s, d, MIXED), _scan(s, d).masks, KEYS).groupBy(*KEYS, "layer").agg(F.count("*").alias("n"))
+    return X.flag_layers(voxels(s, d, MIXED), _scan(s, d).measures, KEYS).groupBy(*KEYS, "layer").agg(F.count("*").alias("n"))
 
 
 _defects = f"select {K}, layer from vox join flags using ({K}, label) union all select {K}, 'dropped' from vox join dropped using ({K}, label) union all select {K}, case when label > 0 then 'dim_masked' else 'bright_unmasked' end from kvox join t using ({K}) where case when label > 0 then brightness <= ut else brightness >= mt end"
@@ -343,7 +343,7 @@ _defects = f"select {K}, layer from vox join flags using ({K}, label) union all
 @query(Q.query([*MASKS, Q.stage("flags", _flags), Q.EDGES, Q.hist("kvox"), Q.POOLED, Q.quantiles("pooled", f"{K}, masked", {"q": 0.5}), _layers], f"select {K}, layer, count(*) as n from ({_defects}) l group by all", "", "n"))
 def defect_layers(s, d):
     c = _scan(s, d)
-    return X.defect_layers(c.voxels, c.masks, c.dropped, c.hist).groupBy(*KEYS, "layer").agg(F.count("*").alias("n"))
+    return X.defect_layers(c.voxels, c.measures, c.dropped, c.hist).groupBy(*KEYS, "layer").agg(F.count("*").alias("n"))
 
 
 def _split(cut: float) -> str:
@@ -400,31 +400,31 @@ def available_regions(s, d):
 @query(Q.query([*METRICS, *LIGHT], f"select m.*, b.* exclude ({K}), n_total, n_dropped, pct_dropped from metrics m left join brightness b using ({K}) left join report r using ({K})", METRIC_FLOATS + " " + BRIGHT_FLOATS + " pct_dropped", "n_masks max_z_span n_with_jitter n_voxels n_masked n_total n_dropped"))
 def fov_metrics(s, d):
     c = _scan(s, d)
-    return S.fov_metrics(c.masks, c.brightness, c.filters)
+    return S.fov_metrics(c.measures, c.brightness, c.filters)
 
 
 @query(Q.query(SCORES, "select * from scores", " ".join(CARD)))
 def score_fovs(s, d):
     c = _scan(s, d)
-    return S.score_fovs(S.fov_metrics(c.masks, c.brightness, c.filters))
+    return S.score_fovs(S.fov_metrics(c.measures, c.brightness, c.filters))
 
 
 @query(Q.query(SCORES, f"select * from scores where region = (select min(region) from scores)", " ".join(CARD)))
 def region_card(s, d):
     """The card of the first region by name: the scores that its fields have among all."""
-    cards = S.region_cards(S.score_fovs(S.fov_metrics((c := _scan(s, d)).masks, c.brightness, c.filters)))
+    cards = S.region_cards(S.score_fovs(S.fov_metrics((c := _scan(s, d)).measures, c.brightness, c.filters)))
     return cards[min(cards)].withColumn("region", F.lit(min(cards)))
 
 
 @query(Q.query([*METRICS, *Q.scores(SCORE_WEIGHTS, signal=False)], "select * from scores", " ".join(CARD)))
 def score_no_signal(s, d):
-    return S.score_fovs(S.fov_metrics(_scan(s, d).masks))
+    return S.score_fovs(S.fov_metrics(_scan(s, d).measures))
 
 
 @query(Q.query([*METRICS, *LIGHT, *Q.scores(OTHER_WEIGHTS)], "select * from scores", " ".join(CARD)))
 def scorecard_other_weights(s, d):
     c = _scan(s, d)
-    return S.score_fovs(S.fov_metrics(c.masks, c.brightness), OTHER_WEIGHTS)
+    return S.score_fovs(S.fov_metrics(c.measures, c.brightness), OTHER_WEIGHTS)
 
 
 def _change(metric: str, body: str, floats: str, ints: str) -> str:
@@ -530,7 +530,7 @@ def size_change_all(s, d):
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
     c = _scan(s, d)
-    return S.score_fovs(S.fov_metrics(c.masks, c.brightness))
+    return S.score_fovs(S.fov_metrics(c.measures, c.brightness))
 
 
 PAIRS = [*SCORES, Q.pairs(CARD)]
@@ -586,7 +586,7 @@ _directions = [*METRICS, *LIGHT, Q.stage("lined", f"select * from metrics left j
 def compare_metrics_exact(s, d):
     """The same of metrics of all three directions."""
     scan = _scan(s, d)
-    table = S.fov_metrics(scan.masks, scan.brightness, scan.filters)
+    table = S.fov_metrics(scan.measures, scan.brightness, scan.filters)
     return I.compare_exactly(written(I.paired(table, "F", "O", tuple(DIRECTIONS))), "F", "O").drop("p_wilcoxon")
 
 
@@ -618,7 +618,7 @@ def section_areas(s, d):
 @query(Q.query([*MASKS], f"select {K}, 1 - (100.0 * avg(thin::int) + any_value(pct_single_slice)) / 100 as Thinness, 1 - avg(large_jitter::int) as Stability from masks left join report using ({K}) group by {K}", "Thinness Stability"))
 def old_card(s, d):
     c = _scan(s, d)
-    return S.old_card(c.masks, c.filters)
+    return S.old_card(c.measures, c.filters)
 
 
 _rates = Q.stage("rates", f"select {K}, count(*) as n_masks, 100.0 * avg((n_planes <= 2)::int) as thin_rate from spans group by all")

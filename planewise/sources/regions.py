@@ -198,15 +198,17 @@ class BlockScan(S.Scan):
         read = self.blocks.select(*IMAGE, "z", "y", "rows", "image", "masks").mapInArrow(_measured, _PLANES)
         return written(read.groupBy(*KEYS, "label", "z").agg(F.sum("area").alias("area"), *ends))
 
+    def counted(self) -> DataFrame:
+        return self.planes
+
     @cached_property
     def hist(self) -> DataFrame:
         if self.blocks_of is None:
             raise ValueError("brightness needs an image")
-        edges = B.edges_of(self.planes.groupBy(*IMAGE).agg(*B.ends("low", "high", "whole")))
         # a label that the filter drops lies on one plane, so only that plane's blocks need to know it
-        gone = self.dropped.join(self.spans.select(*KEYS, "label", F.col("z_start").alias("z")), [*KEYS, "label"])
+        gone = self.dropped.join(self.labels.select(*KEYS, "label", F.col("z_start").alias("z")), [*KEYS, "label"])
         gone = gone.groupBy(*KEYS, "z").agg(F.collect_list("label").alias("labels")).groupBy(*IMAGE, "z").agg(F.collect_list(F.struct("method", "labels")).alias("gone"))
-        found = self.blocks.join(edges, list(IMAGE)).join(gone, [*IMAGE, "z"], "left")
+        found = self.blocks.join(self.edges, list(IMAGE)).join(gone, [*IMAGE, "z"], "left")
         found = found.select(*IMAGE, "z", "y", "rows", "image", "masks", "lo", "width", "n_bins", "exact", "gone")
         found = found.repartition(self.blocks.rdd.getNumPartitions())
         return written(found.mapInArrow(_histograms, _HIST).groupBy(*KEYS, "z", "masked", "bin", "lo", "width", "exact").agg(F.sum("n").alias("n")))
@@ -231,4 +233,4 @@ def scan_regions(spark: SparkSession, technique_roots: Mapping[str, str], image_
 def score_folders(spark: SparkSession, technique_roots: Mapping[str, str], image_roots: Mapping[str, str] | None = None, weights: Mapping[str, float] | None = None, **how: object) -> DataFrame:
     """From folders to the scorecard of every field and technique."""
     s = scan_regions(spark, technique_roots, image_roots, **how)
-    return S.score_fovs(S.fov_metrics(s.masks, None if image_roots is None else s.brightness, s.filters), weights)
+    return S.score_fovs(S.fov_metrics(s.measures, None if image_roots is None else s.brightness, s.filters), weights)
