@@ -20,6 +20,14 @@ def labels_first(keys: tuple[str, ...]) -> list[str]:
     return ["label", *keys]
 
 
+def number_of(keys: tuple[str, ...], salt: int = 0) -> Column:
+    """A whole number for a segmentation, short to carry and to compare; nulls count as values.
+
+    Whether no two of them share one must be checked where all are known; another ``salt`` gives other numbers.
+    """
+    return F.xxhash64(F.lit(salt), *(c for k in keys for c in (F.col(k).isNull(), F.col(k))))
+
+
 def flag(value: Column, cutoff: Column | float) -> Column:
     """Strictly above the cutoff; what cannot be measured is not flagged."""
     return F.coalesce(value > cutoff, F.lit(False))

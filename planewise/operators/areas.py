@@ -51,11 +51,15 @@ def drop_labels(voxels: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KE
     """The listed labels become background; no voxel and no other id changes.
 
     What is background already is not joined: all of it would have one key for each segmentation, and be most of the rows.
-    ``few`` labels are sent to all tasks instead, and voxels are read once.
+    ``few`` labels are sent to all tasks instead, and voxels are read once; a null in its key spares background the search.
     """
     is_background = F.coalesce(F.col("label") == 0, F.lit(True))
     listed = labels.select(*labels_first(keys)).withColumn("_hit", F.lit(True))
-    marked = voxels.join(F.broadcast(listed), labels_first(keys), "left") if few else voxels.where(~is_background).join(listed, labels_first(keys), "left")
+    if few:
+        searched = voxels.withColumn("_label", F.when(~is_background, F.col("label")))
+        marked = searched.join(F.broadcast(listed.withColumnRenamed("label", "_label")), ["_label", *keys], "left")
+    else:
+        marked = voxels.where(~is_background).join(listed, labels_first(keys), "left")
     marked = marked.withColumn("label", F.when(F.col("_hit"), F.lit(0).cast("long")).otherwise(F.col("label"))).select(*voxels.columns)
     return marked if few else marked.unionByName(voxels.where(is_background))
 

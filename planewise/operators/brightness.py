@@ -51,12 +51,15 @@ def bin_of(value: Column, lo: Column, width: Column, n_bins: Column) -> Column:
 def histograms(voxels: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS, image: tuple[str, ...] = IMAGE) -> DataFrame:
     """Counts by technique, plane, masked or not, and bin, with the bin's lower edge and width.
 
-    The edges are a row for each image; counts are combined before the shuffle.  Edges are written first: while their size is
-    unknown, voxels would be dealt out by image, of which there are few, and travel one by one.
+    The edges are a row for each image; counts are combined before the shuffle, without what an image's bins have in common.
+    Edges are written first: while their size is unknown, voxels would be dealt out by image, of which there are few, and
+    travel one by one.
     """
-    binned = vectorise_pixels(voxels).join(written(edges), list(image)).withColumn("bin", bin_of(F.col("brightness"), F.col("lo"), F.col("width"), F.col("n_bins")))
+    edges = written(edges)
+    binned = vectorise_pixels(voxels).join(edges, list(image)).withColumn("bin", bin_of(F.col("brightness"), F.col("lo"), F.col("width"), F.col("n_bins")))
     binned = binned.where((F.col("bin") >= 0) & (F.col("brightness") <= F.col("lo") + F.col("width") * F.col("n_bins")))
-    return binned.groupBy(*keys, "z", "masked", "bin", "lo", "width", "exact").agg(F.count("*").alias("n"))
+    counted = binned.groupBy(*keys, "z", "masked", "bin").agg(F.count("*").alias("n"))
+    return counted.join(edges.select(*image, "lo", "width", "exact"), list(image)).select(*keys, "z", "masked", "bin", "lo", "width", "exact", "n")
 
 
 def pooled(hist: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

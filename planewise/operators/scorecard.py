@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.functions.columns import IMAGE, KEYS, labels_first, ratio
+from planewise.functions.columns import IMAGE, KEYS, number_of, ratio
 from planewise.functions.constants import AREA_FLOOR, JITTER_CUTOFF, SCORE_WEIGHTS, SLIVER_FRAC, SWAY_CUTOFF
 from planewise.functions.storage import written
 from planewise.operators import areas as A
@@ -19,37 +19,57 @@ from planewise.operators import profile as P
 
 #: Dropped labels that are sent to all tasks: about what Spark sends of a file of 10 MB.
 FEW_DROPPED = 1_500_000
+#: The number that stands for the keys of a segmentation while its voxels and planes are counted.
+SEG = "_seg"
 
 
 class Scan:
     """What a scan yields, for all fields and techniques at once; each table is derived on first use and then kept.
 
-    Voxels are read twice: for the labels, with the range of brightness, and for the histograms, whose bins depend on each image's
-    range and whose masked voxels depend on the filter.  Both tables are small beside the voxels and written once; metrics,
-    filter and statistics are derived from them.  The table of planes is for what lists masks, and written when asked for.
+    Voxels are read three times: for the segmentations, with the range of brightness, for the labels, and for the histograms,
+    whose bins depend on each image's range and whose masked voxels depend on the filter.  The segmentations come first, so that
+    one number, known to be no other's, stands for the keys of each in all that is shuffled, sorted and counted.  All three
+    tables are small beside the voxels and written once; metrics, filter and statistics are derived from them.  The table of
+    planes is for what lists masks, and written when asked for.
     """
 
     def __init__(self, voxels: DataFrame, area_floor: float = AREA_FLOOR, sliver_frac: float = SLIVER_FRAC, drop: bool = True, drop_in: tuple[str, ...] | None = None, keys: tuple[str, ...] = KEYS) -> None:
         self.voxels, self.area_floor, self.sliver_frac, self.drop, self.drop_in, self.keys = voxels, area_floor, sliver_frac, drop, drop_in, keys
 
-    def counted(self) -> DataFrame:
-        """Voxels and brightness range of every label, background included, on every plane."""
-        planes = self.voxels.groupBy(*labels_first(self.keys), "z").agg(F.count("*").alias("area"), *B.ends())
-        return planes.select(*self.keys, "label", "z", "area", "low", "high", "whole")
+    @cached_property
+    def segmentations(self) -> DataFrame:
+        """The range of brightness of each segmentation, background included."""
+        return written(self.voxels.groupBy(*self.keys).agg(*B.ends()))
 
     @cached_property
-    def planes(self) -> DataFrame:
-        return written(self.counted())
+    def salt(self) -> int:
+        """The first salt that gives every segmentation a number of its own."""
+        salt = 0
+        while True:
+            numbers = self.segmentations.select(number_of(self.keys, salt).alias(SEG))
+            found = numbers.agg(F.count("*").alias("all"), F.count_distinct(SEG).alias("own")).first()
+            if found["all"] == found["own"]:
+                return salt
+            salt += 1
+
+    @property
+    def named(self) -> DataFrame:
+        """The keys of each number."""
+        return self.segmentations.select(*self.keys, number_of(self.keys, self.salt).alias(SEG))
+
+    def numbered(self) -> DataFrame:
+        """The voxels by number of their segmentation, without its keys."""
+        return self.voxels.select(number_of(self.keys, self.salt).alias(SEG), "z", "label", "brightness")
 
     @cached_property
-    def all_labels(self) -> DataFrame:
-        """A row for each label, background included, from one pass over its planes."""
-        return written(P.measured_labels(self.counted(), self.area_floor, self.sliver_frac, self.keys))
+    def planes(self) -> DataFrame:
+        return written(A.plane_areas(self.voxels, self.keys))
 
     @cached_property
     def labels(self) -> DataFrame:
-        """Extent, profile and gaps of each label, before the filter."""
-        return self.all_labels.where("label > 0").drop("low", "high", "whole")
+        """Extent, profile and gaps of each label, before the filter, from one pass over its planes."""
+        measured = P.measured_labels(A.plane_areas(self.numbered(), (SEG,)), self.area_floor, self.sliver_frac, (SEG,))
+        return written(measured.join(self.named, SEG).select(*self.keys, *(c for c in measured.columns if c != SEG)))
 
     @cached_property
     def areas(self) -> DataFrame:
@@ -86,13 +106,16 @@ class Scan:
     @property
     def edges(self) -> DataFrame:
         """The bins of each image."""
-        return B.edges_of(self.all_labels.groupBy(*IMAGE).agg(*B.ends("low", "high", "whole")))
+        return B.edges_of(self.segmentations.groupBy(*IMAGE).agg(*B.ends("low", "high", "whole")))
 
     @cached_property
     def hist(self) -> DataFrame:
         """Brightness by plane; removed voxels have joined the unmasked ones."""
         few = self.dropped.count() <= FEW_DROPPED
-        return written(B.histograms(A.drop_labels(self.voxels, self.dropped, self.keys, few), self.edges, self.keys))
+        gone = self.dropped.join(self.named, list(self.keys)).select(SEG, "label")
+        edges = self.named.join(self.edges, list(IMAGE)).select(SEG, "lo", "width", "n_bins", "exact")
+        found = B.histograms(A.drop_labels(self.numbered(), gone, (SEG,), few), edges, (SEG,), (SEG,))
+        return written(found.join(self.named, SEG).select(*self.keys, *(c for c in found.columns if c != SEG)))
 
     @cached_property
     def brightness(self) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from planewise.functions.columns import IMAGE, KEYS
 from planewise.functions.storage import written
 from planewise.operators import brightness as B
+from planewise.operators import profile as P
 from planewise.operators import scorecard as S
 from planewise.sources import catalog as G
 from planewise.sources.blocks import BLOCK_BYTES, Files, page_of, page_table
@@ -198,8 +199,13 @@ class BlockScan(S.Scan):
         read = self.blocks.select(*IMAGE, "z", "y", "rows", "image", "masks").mapInArrow(_measured, _PLANES)
         return written(read.groupBy(*KEYS, "label", "z").agg(F.sum("area").alias("area"), *ends))
 
-    def counted(self) -> DataFrame:
-        return self.planes
+    @cached_property
+    def segmentations(self) -> DataFrame:
+        return self.planes.groupBy(*KEYS).agg(*B.ends("low", "high", "whole"))
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return written(P.measured_labels(self.areas, self.area_floor, self.sliver_frac, self.keys))
 
     @cached_property
     def hist(self) -> DataFrame:

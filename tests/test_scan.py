@@ -87,3 +87,57 @@ def test_few_and_many_dropped_labels(voxels, monkeypatch, few):
     assert nulls == 4 * 12
     got = {tuple(r)[:4]: r.n + (12 if not r.masked else 0) for r in got.collect()}  # a null label is of neither kind
     assert got == want
+
+
+def test_numbers_stand_for_segmentations(spark, voxels):
+    """No name of a segmentation is shuffled, sorted or counted with its voxels and planes."""
+    s = S.scan(voxels)
+    for df in (A.plane_areas(s.numbered(), (S.SEG,)), P.measured_labels(A.plane_areas(s.numbered(), (S.SEG,)), keys=(S.SEG,))):
+        shuffles = re.findall(r"hashpartitioning\((.*)", plan(df))
+        assert shuffles and all(S.SEG in x and not re.search("region|fov|method", x) for x in shuffles)
+    edges = s.named.join(s.edges, ["region", "fov"])
+    found = plan(B.histograms(A.drop_labels(s.numbered(), spark.createDataFrame([(1, 1)], f"{S.SEG} bigint, label bigint"), (S.SEG,), True), edges, (S.SEG,), (S.SEG,)))
+    counted = re.search(r"hashpartitioning\((.*)", found).group(1)
+    assert S.SEG in counted and not re.search("region|fov|method|lo#|width|exact", counted)
+
+
+def test_names_that_are_null_or_run_together(spark, voxels):
+    """A null is a name of its own, and names are told apart by where they end; so are labels that lie in one of them only."""
+    names = [(None, "f", "a"), ("f", None, "a"), ("f", "a", None), (None, None, None), ("", "f", "a"), ("r", "fa", ""), ("rf", "a", ""), ("r", "f", "a")]
+    data = [(*n, z, label, float(z + i)) for i, n in enumerate(names) for z in range(4) for label in (0, i + 1) for _ in range(1 + (z + i) % 3)] + [(*n, 2, 50, 1.0) for n in names[::2]]
+    v = spark.createDataFrame(data, VOXEL)
+    s = S.scan(v, area_floor=1)
+    planes: dict[tuple, set[int]] = {}
+    for region, fov, method, z, label, _ in data:
+        if label > 0:
+            planes.setdefault((region, fov, method, label), set()).add(z)
+    got = {(r.region, r.fov, r.method, r.label): (r.z_start, r.z_span) for r in s.labels.collect()}
+    assert got == {k: (min(p), max(p) - min(p) + 1) for k, p in planes.items()}
+    assert {(r.region, r.fov, r.method) for r in s.named.collect()} == set(names)
+    gone = {(*n, 50) for n in names[::2]}
+    assert {tuple(r) for r in s.dropped.select(*KEYS, "label").collect()} == gone
+    hist = {tuple(r) for r in s.hist.groupBy(*KEYS, "masked").agg(F.sum("n")).collect()}
+    want: dict[tuple, int] = {}
+    for region, fov, method, _, label, _ in data:
+        if region is not None and fov is not None:  # no image without a name; a label without a technique's name is not joined
+            dropped = method is not None and (region, fov, method, label) in gone
+            want[region, fov, method, label > 0 and not dropped] = want.get((region, fov, method, label > 0 and not dropped), 0) + 1
+    assert hist == {(*k, n) for k, n in want.items()}
+
+
+def test_numbers_that_two_segmentations_share_are_given_up(voxels, monkeypatch):
+    number = S.number_of
+    monkeypatch.setattr(S, "number_of", lambda keys, salt=0: F.pmod(number(keys, salt), F.lit(1 if salt < 2 else 1 << 62)))
+    s = S.scan(voxels)
+    assert s.salt == 2
+    shared = [c for c in s.measures.columns if c in s.masks.columns]
+    assert rows(s.measures, shared) == rows(s.masks, shared)
+    assert s.hist.select("fov", "method").distinct().count() == 4
+
+
+def test_background_is_not_searched_among_few_dropped_labels(spark, voxels):
+    listed = spark.createDataFrame([("r", "f", "a", 1), ("r", "f", "a", -1), ("r", "f", "a", 0)], "region string, fov string, method string, label bigint")
+    kept = A.drop_labels(voxels, listed, few=True)
+    assert "BroadcastHashJoin [_label" in plan(kept)
+    want = A.drop_labels(voxels, listed)
+    assert rows(kept.groupBy(*KEYS, "label").count(), [*KEYS, "label", "count"]) == rows(want.groupBy(*KEYS, "label").count(), [*KEYS, "label", "count"])
